@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from framelake.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from framelake.llm.packing import op6_best_fit_packing
+from framelake.llm.sentencepiece_bpe import op10_sentencepiece
 
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE_SQL = {
