@@ -91,7 +91,10 @@ class Encoder:
         return self._slow.encode(text, add_special_tokens=False).ids
 
 
-encoder = functools.lru_cache(maxsize=2)(Encoder)
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One per worker and file."""
+    return Encoder(path)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:

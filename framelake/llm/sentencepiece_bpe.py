@@ -153,7 +153,10 @@ class PrefixEncoder:
         return self.model.decode(np.frombuffer(ids, "<u4").tolist())
 
 
-encoder = functools.lru_cache(maxsize=2)(PrefixEncoder)
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> PrefixEncoder:
+    """One per worker and file."""
+    return PrefixEncoder(path)
 
 
 def sentencepiece_roundtrip(df: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
