@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+from framelake.llm.embedding_dedup import OP1_SQL, op1_embedding_near_dedup
 from framelake.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from framelake.llm.packing import op6_best_fit_packing
 from framelake.llm.sentencepiece_bpe import op10_sentencepiece
+from framelake.llm.simhash import op4_simhash_near_dedup
+from framelake.llm.suffix_dedup import op9_suffix_array_dedup
+from framelake.llm.warc import OP2_SQL, op2_warc_segments
 
 QUERIES = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op2_warc_segments": op2_warc_segments,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE_SQL = {
+    "op1_embedding_near_dedup": OP1_SQL,
+    "op2_warc_segments": OP2_SQL,
     "op3_exact_dedup": OP3_SQL,
 }
