@@ -15,8 +15,10 @@ threshold and at sampled positions that equal strings are sure to share:
 2. Anchors with all their windows' bytes (the context) in common are settled
    together, however many there are: each of these windows occurs in all of them.
 3. Round two, L = threshold: the windows of the remaining contexts, one context for
-   each distinct one, get the rank pair (rank at p, rank at p + L / 2). Spark groups
-   the pairs; windows with a pair that isn't unique are repeated.
+   each distinct one, get the rank pair (rank at p, rank at p + L / 2); windows with a
+   pair that isn't unique are repeated. Up to MEET contexts of an anchor rank are sorted
+   together and compared where they meet; the pairs of larger groups are rows that
+   Spark groups, so a group of any size spreads over all tasks.
 
 Ranks are hashes (of fixed random values for bytes, so they agree between tasks): 64
 bits per half, 128 for a window. Repeated windows go back to their documents as
@@ -41,6 +43,9 @@ BLOCK = 1 << 18
 #: Up to so many 8-byte keys are broadcast as a filter; beyond that the filter is a shuffled join.
 BROADCAST_KEYS = 2_000_000
 
+#: Distinct contexts of one anchor rank that meet in one task (some 600 bytes each).
+MEET = 64
+
 BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -137,19 +142,77 @@ def _anchor_rows(length: int):
     return run
 
 
-def _window_rows(length: int):
+PIECE = "rank long, context long, row long, id {kind}, first long, single boolean, kinds long, data binary"
+
+
+def _context_bytes(length: int):
+    """The bytes of the contexts asked for, cut from their texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["rank", "context", "first", "single", "kinds"]
         for b in batches:
-            texts, jobs = raw(b.column(0)), b.column(1)
-            whose = np.repeat(np.arange(b.num_rows), jobs.value_lengths().to_numpy())
+            texts, jobs = raw(b.column(2)), b.column(3)
+            whose = np.repeat(np.arange(b.num_rows, dtype=np.int32), jobs.value_lengths().to_numpy())
             job = jobs.flatten()
-            first, count, context = (job.field(c).to_numpy() for c in ("first", "n", "context"))
-            for lo in range(0, len(first), 2000):
-                left, right, own, at = [], [], [], []
-                for k in range(lo, min(lo + 2000, len(first))):
-                    data = np.frombuffer(texts[whose[k]], np.uint8)[first[k] : first[k] + count[k] + length - 1]
-                    x, y = window_ranks(data, length)
-                    left.append(x), right.append(y), own.append(np.full(len(x), context[k])), at.append(np.arange(len(x), dtype=np.int32))
+            first, count = (job.field(c).to_numpy() for c in ("first", "n"))
+            data = [texts[k][s : s + n + length - 1] for k, s, n in zip(whose.tolist(), first.tolist(), count.tolist(), strict=True)]
+            row, key = (b.column(c).take(pa.array(whose)) for c in (0, 1))
+            own = {c: job.field(c) for c in names}
+            yield pa.record_batch([own["rank"], own["context"], row, key, own["first"], own["single"], own["kinds"], pa.array(data, pa.binary())], [f.split()[0] for f in PIECE.split(", ")])
+
+    return run
+
+
+def _meet(length: int):
+    """Contexts of the same anchor rank, adjacent in the partition: runs of starts whose windows occur in several of them."""
+
+    def runs(t: pa.Table) -> pa.RecordBatch:
+        left, right, size = [], [], []
+        for data in t.column("data").to_pylist():
+            x, y = window_ranks(np.frombuffer(data, np.uint8), length)
+            left.append(x), right.append(y), size.append(len(x))
+        whose = np.repeat(np.arange(len(size)), size)
+        pair = np.stack([np.concatenate(left), np.concatenate(right)], axis=1)
+        _, inverse, times = np.unique(pair, axis=0, return_inverse=True, return_counts=True)
+        starts = np.arange(len(whose)) - np.repeat(np.cumsum(size) - size, size)
+        hit = np.flatnonzero((times[inverse.ravel()] > 1) & t.column("single").to_numpy()[whose])
+        new = np.append(True, (np.diff(hit) > 1) | (np.diff(whose[hit]) > 0)) if len(hit) else np.empty(0, bool)
+        begin = np.flatnonzero(new)
+        n = np.diff(begin, append=len(hit))
+        at = pa.array(whose[hit[begin]])
+        first = t.column("first").to_numpy()[whose[hit[begin]]] + starts[hit[begin]]
+        take = t.select(["id", "row"]).take(at).combine_chunks()
+        return pa.table({"id": take.column("id"), "row": take.column("row"), "first": pa.array(first, pa.int64()), "n": pa.array(n.astype(np.int32))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= 1000:
+                t = pa.Table.from_batches(held)
+                rank = t.column("rank").to_numpy()
+                end = int(np.searchsorted(rank, rank[-1]))
+                if end:
+                    yield from runs(t.slice(0, end)).to_batches()
+                held, n = t.slice(end).to_batches(), len(t) - end
+        if n:
+            yield from runs(pa.Table.from_batches(held)).to_batches()
+
+    return run
+
+
+def _window_rows(length: int):
+    """A row for each window of the contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left, right, own, at = [], [], [], []
+            for context, data in zip(b.column(0).to_pylist(), raw(b.column(1)), strict=True):
+                x, y = window_ranks(np.frombuffer(data, np.uint8), length)
+                left.append(x), right.append(y), own.append(np.full(len(x), context)), at.append(np.arange(len(x), dtype=np.int32))
+            if left:
                 yield pa.record_batch([pa.array(np.concatenate(c)) for c in (left, right, own, at)], ["left", "right", "context", "at"])
 
     return run
@@ -184,7 +247,7 @@ def within(df: DataFrame, keys: DataFrame, column: str, most: int, anti: bool =
     return df.join(F.broadcast(keys) if few else keys, column, "left_anti" if anti else "left_semi")
 
 
-def repeated_runs(rows: DataFrame, length: int = LENGTH, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def repeated_runs(rows: DataFrame, length: int = LENGTH, broadcast_keys: int = BROADCAST_KEYS, meet: int = MEET) -> DataFrame:
     """``id, row, first, n``: runs of starts of windows that occur more than once, of rows ``id, row, text``."""
     bounded_batches(rows.sparkSession)
     kind = rows.schema["id"].dataType.simpleString()
@@ -194,26 +257,31 @@ def repeated_runs(rows: DataFrame, length: int = LENGTH, broadcast_keys: int = B
     found.drop()
     place = F.struct("row", "id", "first", "n")
     contexts = Table(shared.groupBy("rank", "context").agg(F.count("*").alias("copies"), F.min(place).alias("place")), "contexts").df
-    mixed = contexts.groupBy("rank").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).filter("kinds > 1 and least = 1").select("rank")
+    mixed = contexts.groupBy("rank").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).filter("kinds > 1 and least = 1").select("rank", "kinds")
     settled = shared.join(contexts.filter("copies > 1").select("rank", "context"), ["rank", "context"], "left_semi").select("id", "row", "first", "n")
-    key = F.xxhash64("rank", "context")
-    jobs = Table(contexts.join(mixed, "rank", "left_semi").select("place.*", key.alias("context"), (F.col("copies") == 1).alias("single")), "context-jobs").df
-    by_row = jobs.groupBy("row", "id").agg(F.collect_list(F.struct("first", "n", "context")).alias("jobs"))
+    asked = contexts.join(mixed, "rank").select("rank", F.xxhash64("rank", "context").alias("context"), "place.*", (F.col("copies") == 1).alias("single"), "kinds")
+    jobs = Table(asked, "context-jobs").df
+    by_row = jobs.groupBy("row", "id").agg(F.collect_list(F.struct("rank", "context", "first", "n", "single", "kinds")).alias("jobs"))
     texts = within(rows, jobs.select("row").distinct(), "row", broadcast_keys)
-    asked = texts.alias("t").join(by_row.alias("j"), (F.col("t.row") == F.col("j.row")) & F.col("t.id").eqNullSafe(F.col("j.id")))
+    met = texts.alias("t").join(by_row.alias("j"), (F.col("t.row") == F.col("j.row")) & F.col("t.id").eqNullSafe(F.col("j.id")))
     # Repeated rows hold the same jobs; one of them answers.
-    asked = asked.select("text", "jobs", F.col("t.row").alias("row"), F.col("t.id").alias("id")).dropDuplicates(["row", "id"]).select("text", "jobs")
-    windows = Table(asked.mapInArrow(_window_rows(length), "left long, right long, context long, at int"), "window-ranks").df
+    met = met.select(F.col("t.row").alias("row"), F.col("t.id").alias("id"), "text", "jobs").dropDuplicates(["row", "id"])
+    pieces = Table(met.mapInArrow(_context_bytes(length), PIECE.format(kind=kind)), "contexts-bytes").df
+    # Few contexts of a rank meet in one task; many are compared as window rows, which spread over all tasks.
+    few = pieces.filter(F.col("kinds") <= meet).repartition("rank").sortWithinPartitions("rank")
+    few_runs = few.mapInArrow(_meet(length), f"id {kind}, row long, first long, n int")
+    many = pieces.filter(F.col("kinds") > meet)
+    windows = Table(many.select("context", "data").mapInArrow(_window_rows(length), "left long, right long, context long, at int"), "window-ranks").df
     twice = windows.groupBy("left", "right").agg(F.count("*").alias("c")).filter("c > 1").select("left", "right")
-    single = jobs.filter("single").select(F.col("context").alias("context"), "row", "id", "first")
     hits = windows.join(twice, ["left", "right"], "left_semi").groupBy("context").agg(F.sort_array(F.collect_list("at")).alias("at"))
     # Adjacent starts become one run: number minus rank is constant within a run.
-    runs = hits.select("context", F.posexplode("at").alias("k", "at")).groupBy("context", (F.col("at") - F.col("k")).alias("run")).agg(F.min("at").alias("at"), F.count("*").cast("int").alias("n"))
-    found_runs = runs.join(single, "context").select("id", "row", (F.col("first") + F.col("at")).alias("first"), "n")
+    joined = hits.select("context", F.posexplode("at").alias("k", "at")).groupBy("context", (F.col("at") - F.col("k")).alias("run")).agg(F.min("at").alias("at"), F.count("*").cast("int").alias("n"))
+    many_runs = joined.join(many.filter("single").select("context", "id", "row", "first"), "context").select("id", "row", (F.col("first") + F.col("at")).alias("first"), "n")
+    found_runs = few_runs.unionByName(many_runs)
     return settled.unionByName(found_runs)
 
 
-def substring_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, with_text: bool = False, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def substring_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, with_text: bool = False, broadcast_keys: int = BROADCAST_KEYS, meet: int = MEET) -> DataFrame:
     """One row per input row: ``id, n_bytes, n_removed, n_spans, kept_sha256`` and, if wanted, ``spans, kept``.
 
     Every byte of a text that lies in a string of ``length`` bytes (an even
@@ -227,7 +295,7 @@ def substring_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str =
         raise ValueError("length must be even")
     text = text_of(text_column).cast("string")
     rows = df.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
-    runs = Table(repeated_runs(rows, length, broadcast_keys), "repeated-runs").df
+    runs = Table(repeated_runs(rows, length, broadcast_keys, meet), "repeated-runs").df
     by_row = Table(runs.groupBy("row", "id").agg(F.collect_list(F.struct("first", "n")).alias("runs")), "runs-by-row").df
     touched = by_row.select("row").distinct()
     clean = within(rows, touched, "row", broadcast_keys, anti=True)
