@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from framelake.llm.embedding_dedup import OP1_SQL, op1_embedding_near_dedup
 from framelake.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from framelake.llm.hmm import op5_hmm_scores
 from framelake.llm.packing import op6_best_fit_packing
+from framelake.llm.quality import op8_quality_classifier
 from framelake.llm.sentencepiece_bpe import op10_sentencepiece
 from framelake.llm.simhash import op4_simhash_near_dedup
 from framelake.llm.suffix_dedup import op9_suffix_array_dedup
@@ -15,7 +17,9 @@ QUERIES = {
     "op2_warc_segments": op2_warc_segments,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_hmm_scores": op5_hmm_scores,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
