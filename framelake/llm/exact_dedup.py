@@ -73,17 +73,18 @@ def exact_dedup(
     bucket_keys: int = BUCKET_KEYS,
     broadcast_keys: int = BROADCAST_KEYS,
 ) -> DataFrame:
-    """One row per input row: ``id, keep_id, group_size, kept, text_sha256, bucket``.
+    """One row per input row: ``id, row, keep_id, group_size, kept, text_sha256, bucket``.
 
     Rows are equal when their normalised texts have the same bytes; of equal rows
     the smallest id stays. Null texts count as empty, and empty texts are equal
     to each other. Other columns are ignored, whatever their names. An empty
     table gives an empty result. Ids that repeat each give a row; rows with a
     null id are copies like others, and a group of null ids alone keeps null.
+    ``row`` is the XXH64 of the text, which tells rows apart that share an id.
     """
     norm = normalised(text_of(text_column))
-    rows = df.select(F.col(id_column).alias("id"), norm.alias("norm"))
-    entry = rows.select("id", F.xxhash64("norm").alias("key"), F.unhex(F.sha2("norm", 256)).alias("sha"))
+    rows = df.select(F.col(id_column).alias("id"), norm.alias("norm"), F.xxhash64(text_of(text_column)).alias("row"))
+    entry = rows.select("id", "row", F.xxhash64("norm").alias("key"), F.unhex(F.sha2("norm", 256)).alias("sha"))
     pages = Table(entry, "hash-index").df
     # A row for each distinct key; summed up within tasks first, so a hot key is a few rows.
     keys = Table(pages.groupBy("key").agg(F.count("*").alias("n")), "hash-keys").df
@@ -113,6 +114,7 @@ def exact_dedup(
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return joined.select(
         "id",
+        "row",
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         F.coalesce(F.col("id") == keep, F.lit(False)).alias("kept"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from framelake.llm.compact_windows import op7_compact_windows
 from framelake.llm.embedding_dedup import OP1_SQL, op1_embedding_near_dedup
 from framelake.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from framelake.llm.hmm import op5_hmm_scores
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_hmm_scores": op5_hmm_scores,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_compact_windows": op7_compact_windows,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_sentencepiece": op10_sentencepiece,

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import EDGE, Table, batch, bounded_batches, components, documents, local_roots, mix64, raw
+from framelake.llm.common import EDGE, Table, batch, bounded_batches, components, documents, local_roots, mix64, raw, text_of
 
 #: Reference fingerprints of the pivot table; distances fit in a byte, eight to a long.
 PIVOTS = 16
@@ -75,10 +75,11 @@ def fingerprints(df: DataFrame, id_column: str, text_column: str, shingle_words:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([fingerprint(t, shingle_words, seed) for t in raw(b.column(1))], pa.int64())], ["id", "fp"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([fingerprint(t, shingle_words, seed) for t in raw(b.column(2))], pa.int64())], ["id", "row", "fp"])
 
     kind = df.schema[id_column].dataType.simpleString()
-    return df.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    text = text_of(text_column).cast("string")
+    return df.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("row"), text.alias("text")).mapInArrow(run, f"id {kind}, row long, fp long")
 
 
 def segments(parts: int) -> list[int]:
@@ -173,12 +174,13 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 3, block: int = BLOCK
 
 
 def simhash_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 3, max_bits: int = 3, seed: int = 42) -> DataFrame:
-    """One row per input row: ``id, fp, component_id`` (the smallest id reachable by links, itself included).
+    """One row per input row: ``id, row, fp, component_id, root`` (the smallest id reachable by links, itself included).
 
     Texts without words, null ones among them, have fingerprint 0 and are linked
     like any other. Texts with the same words have the same fingerprint: they
     are linked once, by it. Null ids don't count as smallest unless a group has
-    no other. An empty table gives an empty result. Other columns are ignored.
+    no other. ``row`` is the XXH64 of the text, which tells rows apart that share
+    an id; ``root`` names the component by a fingerprint. An empty table gives an empty result. Other columns are ignored.
     """
     prints = Table(fingerprints(df, id_column, text_column, shingle_words, seed), "fingerprints").df
     distinct = Table(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct-prints").df
@@ -186,8 +188,8 @@ def simhash_groups(df: DataFrame, id_column: str = "doc_id", text_column: str =
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = Table(rooted, "rooted-prints").df
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp", "left").select("id", "fp", "component_id")
+    named = rooted.join(least, "root").select("fp", "component_id", "root")
+    return prints.join(named, "fp", "left").select("id", "row", "fp", "component_id", "root")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,8 +43,8 @@ BLOCK = 1 << 18
 #: Up to so many 8-byte keys are broadcast as a filter; beyond that the filter is a shuffled join.
 BROADCAST_KEYS = 2_000_000
 
-#: Distinct contexts of one anchor rank that meet in one task (some 600 bytes each).
-MEET = 64
+#: Distinct contexts of one anchor rank that meet in one task: some 600 bytes each, so 2.5 MB.
+MEET = 4096
 
 BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {}
