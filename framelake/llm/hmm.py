@@ -1,16 +1,17 @@
 """A hidden Markov language model over words, trained by Baum-Welch across partitions.
 
 The unigram base gives every known word w the probability p(w) = (c + 0.1) / (N +
-0.1 (V + 1)) and the unknown word the rest. Words fall into a fixed number of
-classes: the end, the unknown word, ``TOP`` most frequent words each alone, and all
-others by a hash of their last three bytes. A state s emits class k with probability
-e(s, k), and the word within its class in proportion to p, so
+0.1 (V + 1)) and an unknown word that of c = 0. Words fall into a fixed number of
+classes: the end, the ``TOP`` most frequent words each alone, and all others by a hash
+of their last three bytes; each of these hashed classes has an unknown word of its
+own. A state s emits class k with probability e(s, k), and the word within its class
+in proportion to p, so
 
     P(w | s) = p(w) * e(s, k(w)) / q(k(w)),   q(k) = sum of p over class k,
 
-which sums to 1 over known words and the unknown one. Hence the log probability of a
-text is its base score plus that of its classes under e / q, and the model's
-parameters stay small however many words there are.
+which sums to 1 over all words. Hence the log probability of a text is its base score
+plus that of its classes under e / q, and the model's parameters stay small however
+many words there are.
 
 Training counts come from all training texts: in each round every partition sums up
 the expected counts of its texts, Spark adds these up, and the parameters are set
@@ -18,13 +19,18 @@ from the sums. For the counts, texts are taken in runs of ``RUN`` words, so that
 of all texts move in step; scoring is the exact scaled forward recursion over each
 whole text (for very long ones as a product of the same matrices).
 
-Word counts reach the texts by a join: texts are dealt out to blocks of some 16 MB,
-each block asks for its distinct words only, and the answers meet the block's texts.
-Nothing of the size of the vocabulary is collected or broadcast.
+Word counts reach the texts in two ways. The ``NEAR`` most frequent words, a bounded
+number, go to all tasks and settle most of the words where the text is read. The
+other words of a text become rows that are joined with the counts and summed up by
+text, so nothing of the size of the vocabulary is collected or broadcast, and no text
+is shuffled.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,14 +42,16 @@ from pyspark.sql import functions as F
 from framelake.llm.common import Table, bounded_batches, documents, raw
 
 STATES, ROUNDS, RUN = 6, 3, 64
-#: Classes: end, unknown, most frequent words, hashed others.
+#: Most frequent words whose counts go to all tasks.
+NEAR = 200_000
+#: Classes: end, most frequent words, hashed others.
 TOP, HASHED = 1000, 1024
-CLASSES = 2 + TOP + HASHED
-END, UNKNOWN = 0, 1
+CLASSES = 1 + TOP + HASHED
+END = 0
 #: The end of a text as a word; no word is empty.
 END_WORD = b""
-#: Text bytes of a block, and distinct words that a counting task holds.
-BLOCK_BYTES, HELD_WORDS = 16_000_000, 400_000
+#: Distinct words that a counting task holds.
+HELD_WORDS = 400_000
 #: Words that are scored in step; texts of more words than LONG are products of matrices.
 STEP_WORDS, LONG = 1_000_000, 4096
 #: Pseudo-counts that tie a state's emissions to the base.
@@ -75,50 +83,66 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of each block, as far as one task sees it."""
-    held: dict[int, set[bytes]] = {}
+def hashed_class(word: bytes) -> int:
+    return 1 + TOP + zlib.crc32(word[-3:]) % HASHED
 
-    def out() -> Iterator[pa.RecordBatch]:
-        for block, words in held.items():
-            if words:
-                yield pa.record_batch([pa.array(np.full(len(words), block, np.int32)), pa.array(list(words), pa.binary())], ["block", "word"])
 
-    size = 0
-    for b in batches:
-        for block, text in zip(b.column(0).to_pylist(), raw(b.column(1)), strict=True):
-            own = held.setdefault(block, set())
-            size -= len(own)
-            own.update(_words(text))
-            size += len(own)
-        if size >= HELD_WORDS:
-            yield from out()
-            held, size = {}, 0
-    yield from out()
-
-
-def word_class(word: str = "word", top: str = "top") -> Column:
-    hashed = F.pmod(F.crc32(F.substring(F.col(word), -3, 3)), F.lit(HASHED)).cast("int") + 2 + TOP
-    return F.when(F.length(word) == 0, END).otherwise(F.coalesce(F.col(top), hashed))
-
-
-def _encoder(total: int, kinds: int):
-    """Texts of a block meet its words: the base score and the classes of each text."""
-    room = total + 0.1 * (kinds + 1)
-
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        at = {w: k for k, w in enumerate(words.column("word").to_pylist())}
-        seen = words.column("n").to_numpy()
-        score = np.log10((seen + 0.1) / room)
-        kind = words.column("class").to_numpy().astype(np.uint16)
-        end = at.get(END_WORD)
-        rows = []
-        for text in raw(docs.column("text").combine_chunks()):
-            index = np.array([at[w] for w in _words(text)] + [end], np.int64)
-            rows.append((len(index), int(np.count_nonzero(seen[index])), float(score[index].sum()), kind[index].tobytes()))
-        cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-        types = (pa.int64(), pa.int64(), pa.float64(), pa.binary())
-        return pa.Table.from_arrays([docs.column("id"), docs.column("out"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["id", "held_out", "n_tokens", "n_known", "base_score", "classes"])
+def base_classes(counts: DataFrame, near: dict[bytes, tuple[float, int]], room: float) -> np.ndarray:
+    """q of each class, summed over all words where they are."""
+    hashed = F.pmod(F.crc32(F.substring("word", -3, 3)), F.lit(HASHED)).cast("int") + 1 + TOP
+    q = np.zeros(CLASSES)
+    q[1 + TOP :] = 0.1 / room
+    for r in counts.groupBy(hashed.alias("class")).agg(F.sum((F.col("n") + 0.1) / room).alias("q")).collect():
+        q[r["class"]] += r["q"]
+    # Words with a class of their own leave their hashed one.
+    for word, (p, k) in near.items():
+        if k <= TOP:
+            q[hashed_class(word)] -= p
+            q[k] += p
+    return q
+
+
+class Near(dict):
+    """Word -> (class, score, known) of frequent words; others are remembered as rare."""
+
+    def __init__(self, near: dict[bytes, tuple[float, int]]) -> None:
+        super().__init__((w, (k, math.log10(p), 1)) for w, (p, k) in near.items())
+        self.known = len(self)
+
+    def __missing__(self, word: bytes) -> tuple[int, float, int]:
+        value = (hashed_class(word), 0.0, 0)
+        if len(self) >= self.known + HELD_WORDS:
+            for w in [w for w, v in self.items() if not v[2]]:
+                del self[w]
+        self[word] = value
+        return value
+
+
+_NEAR: dict[str, Near] = {}
+
+
+def _encoder(near: dict[bytes, tuple[float, int]], token: str, end_score: float, end_known: bool):
+    """Classes of each text, the base score of its frequent words, and its rare words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if token not in _NEAR:
+            _NEAR.clear()
+            _NEAR[token] = Near(near)
+        own = _NEAR[token]
+        for b in batches:
+            rows = []
+            for text in raw(b.column(2)):
+                words = _words(text)
+                if words:
+                    kind, score, known = zip(*map(own.__getitem__, words), strict=True)
+                    rare = [w for w, k in zip(words, known, strict=True) if not k]
+                    kind = np.array(kind + (END,), np.uint16).tobytes()
+                    rows.append((len(words) + 1, len(words) - len(rare) + end_known, math.fsum(score) + end_score, kind, rare))
+                else:
+                    rows.append((1, int(end_known), end_score, np.array([END], np.uint16).tobytes(), []))
+            types = (pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary()))
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+            yield pa.record_batch([b.column(0), b.column(1), *cols], ["id", "held_out", "n_tokens", "n_near", "near_score", "classes", "rare"])
 
     return run
 
@@ -133,7 +157,7 @@ class Model:
         self.move = np.full((states, states), 0.1 / max(1, states - 1))
         np.fill_diagonal(self.move, 0.9 if states > 1 else 1.0)
         self.emit = base * rng.uniform(0.2, 1.8, (states, len(base)))
-        self.emit /= self.emit.sum(axis=1, keepdims=True)
+        self.emit /= np.maximum(self.emit.sum(axis=1, keepdims=True), 1e-300)
 
     @property
     def ratio(self) -> np.ndarray:
@@ -146,11 +170,8 @@ class Model:
         start, move, emit = np.split(sums, [s, s + s * s])
         start, move = start + 1, move.reshape(s, s) + 1
         emit = emit.reshape(s, k) + PRIOR * self.base
-        # Training texts hold no unknown word by definition; it keeps its base probability in every state.
-        emit[:, UNKNOWN] = 0
-        emit *= (1 - self.base[UNKNOWN]) / np.maximum(emit.sum(axis=1, keepdims=True), 1e-300)
-        emit[:, UNKNOWN] = self.base[UNKNOWN]
-        self.start, self.move, self.emit = start / start.sum(), move / move.sum(axis=1, keepdims=True), emit
+        self.start, self.move = start / start.sum(), move / move.sum(axis=1, keepdims=True)
+        self.emit = emit / np.maximum(emit.sum(axis=1, keepdims=True), 1e-300)
 
 
 def expected(model: Model, texts: list[np.ndarray]) -> np.ndarray:
@@ -286,22 +307,19 @@ def _collector(model: Model):
 
 def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, texts in _grouped(batches, 5):
-            log = forward(model, texts) / np.log(10)
-            base = t.column("base_score").to_numpy()
-            out = t.drop_columns(["classes"]).append_column("score", pa.array(base + log))
-            yield from out.to_batches()
+        for t, texts in _grouped(batches, 1):
+            yield from pa.table({"key": t.column("key"), "gain": pa.array(forward(model, texts) / np.log(10))}).to_batches()
 
     return run
 
 
-def hmm_scores(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", states: int = STATES, rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def hmm_scores(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """One row per input row: ``id, held_out, n_tokens, n_known, train_tokens, base_score, score`` (log10).
 
     A row is held out of all training counts when crc32 of its id as text is a
     multiple of 10 (a null id counts as an empty text: held out). Null and empty
     texts are an end alone. Repeated rows count, and are scored, each for itself.
-    Without training rows every token is unknown. Other columns are ignored. An
+    Without training rows every token is unknown, the end too. Other columns are ignored. An
     empty table gives an empty result.
     """
     spark = df.sparkSession
@@ -313,25 +331,20 @@ def hmm_scores(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     counts = Table(counts, "word-counts").df
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("kinds")).first()
     room = sums["total"] + 0.1 * (sums["kinds"] + 1)
-    most = counts.filter(F.length("word") > 0).orderBy(F.col("n").desc(), "word").limit(TOP).collect()
-    top = spark.createDataFrame([(bytes(r["word"]), k + 2) for k, r in enumerate(most)], "word binary, top int")
-    classed = Table(counts.join(F.broadcast(top), "word", "left").withColumn("class", word_class()).drop("top"), "word-classes").df
-    base = np.zeros(CLASSES)
-    base[UNKNOWN] = 0.1 / room
-    for r in classed.groupBy("class").agg(F.sum((F.col("n") + 0.1) / room).alias("q")).collect():
-        base[r["class"]] = r["q"]
-
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-size // block_bytes))
-    blocked = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
-    ends = spark.range(blocks).select(F.col("id").cast("int").alias("block"), F.lit(END_WORD).alias("word"))
-    asked = blocked.select("block", "text").mapInArrow(_block_words, "block int, word binary").unionByName(ends).distinct()
-    known = asked.join(classed, "word", "left").select("block", "word", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("class", F.when(F.length("word") == 0, END).otherwise(UNKNOWN)).alias("class"))
-    known = Table(known, "block-words")
-    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, classes binary"
-    encoded = blocked.groupBy("block").cogroup(known.df.groupBy("block")).applyInArrow(_encoder(sums["total"], sums["kinds"]), schema)
-    encoded = Table(encoded, "encoded-texts").df
-    known.drop()
+    most = counts.filter(F.length("word") > 0).orderBy(F.col("n").desc(), "word").limit(NEAR).select("word", "n").toArrow()
+    words, times = (most.column(c).to_pylist() for c in ("word", "n"))
+    near = {bytes(w): ((n + 0.1) / room, min(k + 1, TOP) if k < TOP else hashed_class(w)) for k, (w, n) in enumerate(zip(words, times, strict=True))}
+    ends = counts.filter(F.length("word") == 0).first()
+    end_p = ((ends["n"] if ends else 0) + 0.1) / room
+    base = base_classes(counts.filter(F.length("word") > 0), near, room)
+    base[END] = end_p
+
+    schema = f"id {kind}, held_out boolean, n_tokens long, n_near long, near_score double, classes binary, rare array<binary>"
+    encoded = rows.select("id", F.col("out").alias("held_out"), "text").mapInArrow(_encoder(near, uuid.uuid4().hex, math.log10(end_p), ends is not None), schema)
+    encoded = Table(encoded.withColumn("key", F.monotonically_increasing_id()), "encoded-texts").df
+    rare = encoded.select("key", F.explode("rare").alias("word")).join(counts, "word", "left")
+    rest = rare.groupBy("key").agg(F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.1) / room)).alias("rest_score"), F.count("n").alias("n_rest"))
+    rest = Table(rest, "rare-scores").df
 
     model = Model(base, states)
     for _ in range(rounds):
@@ -340,8 +353,18 @@ def hmm_scores(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         for r in got:
             total[r["at"]] = r["value"]
         model.fit(total)
-    scored = encoded.mapInArrow(_scorer(model), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("id", "held_out", "n_tokens", "n_known", F.lit(sums["total"]).cast("long").alias("train_tokens"), "base_score", "score")
+    gains = Table(encoded.select("key", "classes").mapInArrow(_scorer(model), "key long, gain double"), "gains").df
+    out = encoded.drop("classes", "rare").join(rest, "key", "left").join(gains, "key")
+    base_score = F.col("near_score") + F.coalesce("rest_score", F.lit(0.0))
+    return out.select(
+        "id",
+        "held_out",
+        "n_tokens",
+        (F.col("n_near") + F.coalesce("n_rest", F.lit(0).cast("long"))).alias("n_known"),
+        F.lit(sums["total"]).cast("long").alias("train_tokens"),
+        base_score.alias("base_score"),
+        (base_score + F.col("gain")).alias("score"),
+    )
 
 
 def op5_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
