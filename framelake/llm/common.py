@@ -57,7 +57,7 @@ class Table:
     def __init__(self, df: DataFrame, name: str) -> None:
         self.spark = df.sparkSession
         self.path = scratch_path(self.spark, name)
-        df.write.parquet(self.path)
+        df.write.option("compression", "zstd").parquet(self.path)
         self.schema = df.schema
         # Spark removes the shuffle files of finished jobs only when the driver collects garbage.
         self.spark._jvm.System.gc()
