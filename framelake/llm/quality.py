@@ -18,6 +18,7 @@ bounded cache.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from framelake.llm.common import bounded_batches, documents, raw
 
 #: Bounds of the training sample.
-MAX_ROWS, MAX_BYTES = 6000, 24_000_000
+MAX_ROWS, MAX_BYTES = 6000, 16_000_000
 BUCKETS, DIM, EPOCHS, BATCH, RATE, SEED = 1 << 17, 16, 6, 64, 12.0, 11
 #: A step changes no component of a vector by more.
 LIMIT = 0.1
@@ -71,11 +72,15 @@ class Trainer:
             counts[TEXT] = TEXT_WEIGHT
             if again:
                 counts[REPEAT] = again * REPEAT_WEIGHT
-            own.append((np.array([index.setdefault(w, len(index)) for w in counts], np.int64), np.array(list(counts.values()), np.float32)))
-        rows = [features(w)[:1] if w in (TEXT, REPEAT) else features(w) for w in index]
-        self.size = np.array([len(r) for r in rows], np.int64)
+            own.append((np.array([index.setdefault(w, len(index)) for w in counts], np.int32), np.array(list(counts.values()), np.float32)))
+        # Plain arrays from the start: lists of so many numbers would take ten times the memory.
+        flat, size = array("i"), array("i")
+        for w in index:
+            found = features(w)[:1] if w in (TEXT, REPEAT) else features(w)
+            flat.extend(found)
+            size.append(len(found))
+        self.flat, self.size = np.frombuffer(flat, np.int32), np.frombuffer(size, np.int32).astype(np.int64)
         self.begin = np.concatenate([[0], np.cumsum(self.size)])
-        self.flat = np.array([f for r in rows for f in r], np.int64)
         self.own = own
         self.total = np.array([float((c * self.size[w]).sum()) for w, c in own], np.float32)
 
@@ -163,7 +168,9 @@ def train(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     y = [int(x == positive) for x in found]
     if not y:
         return np.zeros(BUCKETS, np.float32), 0.0
-    vectors, layer, bias = Trainer(texts, y).fit()
+    trainer = Trainer(texts, y)
+    del texts
+    vectors, layer, bias = trainer.fit()
     return (vectors @ (layer[1] - layer[0])).astype(np.float32), float(bias[1] - bias[0])
 
 
