@@ -65,9 +65,9 @@ def ratio_matches(df: DataFrame, candidates: DataFrame, key: str, vector: str, r
     parts = None
     for k in range(blocks):
         t = (named if blocks == 1 else named.filter(F.col("block") == k)).orderBy("c").select("c", "v").toArrow()
-        own, base = np.array(t.column("c").to_pylist()), np.array(t.column("v").to_pylist(), float)
+        names, own, base = t.column("c").combine_chunks(), np.array(t.column("c").to_pylist()), np.array(t.column("v").to_pylist(), float)
 
-        def run(batches, own=own, base=base):
+        def run(batches, names=names, own=own, base=base):
             for b in batches:
                 if not b.num_rows or not len(own):
                     continue
@@ -79,7 +79,7 @@ def ratio_matches(df: DataFrame, candidates: DataFrame, key: str, vector: str, r
                 at = np.repeat(np.arange(len(keys)), two.shape[1])
                 d = distance[at, two.ravel()]
                 ok = np.isfinite(d)
-                yield pa.record_batch([b.column(0).take(pa.array(at[ok])), pa.array(own[two.ravel()[ok]]), pa.array(d[ok])], ["k", "c", "d"])
+                yield pa.record_batch([b.column(0).take(pa.array(at[ok])), names.take(pa.array(two.ravel()[ok])), pa.array(d[ok])], ["k", "c", "d"])
 
         part = df.select(key, vector).filter(F.col(vector).isNotNull()).mapInArrow(run, f"k {kind}, c {of}, d double")
         parts = part if parts is None else parts.unionByName(part)

@@ -118,26 +118,26 @@ def bernoulli_changepoint(daily: DataFrame, keys: list[str], day: str = "day", w
     the earliest of equals (to nine digits). With no k left: the first day, both
     rates 0.5, confidence 0. Prefix sums in one window; one shuffle by key.
     """
-    own, upto = W.partitionBy(*keys), W.partitionBy(*keys).orderBy("d").rowsBetween(W.unboundedPreceding, -1)
+    own, upto = W.partitionBy(*keys), W.partitionBy(*keys).orderBy("_d").rowsBetween(W.unboundedPreceding, -1)
     zero = F.lit(0.0)
-    x = daily.select(*keys, F.col(day).alias("d"), F.col(w).cast("double").alias("w"), F.col(wy).cast("double").alias("wy"))
-    x = x.withColumn("wb", F.coalesce(F.sum("w").over(upto), zero)).withColumn("yb", F.coalesce(F.sum("wy").over(upto), zero))
-    x = x.withColumn("wt", F.sum("w").over(own)).withColumn("yt", F.sum("wy").over(own)).withColumn("k", F.row_number().over(own.orderBy("d")) - 1)
-    wa, ya = F.col("wt") - F.col("wb"), F.col("yt") - F.col("yb")
+    x = daily.select(*keys, F.col(day).alias("_d"), F.col(w).cast("double").alias("_w"), F.col(wy).cast("double").alias("_wy"))
+    x = x.withColumn("_wb", F.coalesce(F.sum("_w").over(upto), zero)).withColumn("_yb", F.coalesce(F.sum("_wy").over(upto), zero))
+    x = x.withColumn("_wt", F.sum("_w").over(own)).withColumn("_yt", F.sum("_wy").over(own)).withColumn("_k", F.row_number().over(own.orderBy("_d")) - 1)
+    wa, ya = F.col("_wt") - F.col("_wb"), F.col("_yt") - F.col("_yb")
     clip = lambda p: F.least(F.greatest(p, F.lit(1e-10)), F.lit(1 - 1e-10))
     rate = lambda y, w: clip(y / (w + F.lit(1e-10)))
     ll = lambda y, w, p: y * F.log(p) + (w - y) * F.log(F.lit(1.0) - p)
-    x = x.withColumn("ph", rate(F.col("yb"), F.col("wb"))).withColumn("pl", rate(ya, wa)).withColumn("p0", rate(F.col("yt"), F.col("wt")))
-    x = x.withColumn("ll", ll(F.col("yb"), F.col("wb"), F.col("ph")) + ll(ya, wa, F.col("pl"))).withColumn("ll0", ll(F.col("yt"), F.col("wt"), F.col("p0")))
-    ok = (F.col("k") >= 1) & (F.col("wb") >= min_side * F.col("wt")) & (wa >= min_side * F.col("wt"))
-    best = F.max(F.when(ok, F.struct(F.round("ll", 9).alias("r"), (-F.col("k")).alias("k"), "d", "ph", "pl", "ll", "ll0"))).alias("b")
-    x = x.groupBy(*keys).agg(F.count("*").alias("n_days"), F.min("d").alias("first"), best)
-    gain = F.col("b.ll") - F.col("b.ll0")
-    sharp = F.least(F.greatest((F.col("b.ph") - F.col("b.pl")) / F.lit(0.5), zero), F.lit(1.0))
+    x = x.withColumn("_ph", rate(F.col("_yb"), F.col("_wb"))).withColumn("_pl", rate(ya, wa)).withColumn("_p0", rate(F.col("_yt"), F.col("_wt")))
+    x = x.withColumn("_ll", ll(F.col("_yb"), F.col("_wb"), F.col("_ph")) + ll(ya, wa, F.col("_pl"))).withColumn("_ll0", ll(F.col("_yt"), F.col("_wt"), F.col("_p0")))
+    ok = (F.col("_k") >= 1) & (F.col("_wb") >= min_side * F.col("_wt")) & (wa >= min_side * F.col("_wt"))
+    best = F.max(F.when(ok, F.struct(F.round("_ll", 9).alias("_r"), (-F.col("_k")).alias("_k"), "_d", "_ph", "_pl", "_ll", "_ll0"))).alias("_b")
+    x = x.groupBy(*keys).agg(F.count("*").alias("n_days"), F.min("_d").alias("_first"), best)
+    gain = F.col("_b._ll") - F.col("_b._ll0")
+    sharp = F.least(F.greatest((F.col("_b._ph") - F.col("_b._pl")) / F.lit(0.5), zero), F.lit(1.0))
     sure = F.least(F.greatest((F.lit(1.0) - F.exp(-gain / F.lit(5.0))) * sharp, zero), F.lit(1.0))
     return x.select(
-        *keys, "n_days", F.coalesce("b.d", "first").alias("change_day"), F.coalesce("b.ph", F.lit(0.5)).alias("p_high"),
-        F.coalesce("b.pl", F.lit(0.5)).alias("p_low"), F.coalesce(sure, zero).alias("confidence"),
+        *keys, "n_days", F.coalesce("_b._d", "_first").alias("change_day"), F.coalesce("_b._ph", F.lit(0.5)).alias("p_high"),
+        F.coalesce("_b._pl", F.lit(0.5)).alias("p_low"), F.coalesce(sure, zero).alias("confidence"),
     )
 
 

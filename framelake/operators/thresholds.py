@@ -67,11 +67,11 @@ def best_correlated(targets: DataFrame, sources: DataFrame, key: str, vector: st
         t = (named if blocks == 1 else named.filter(F.col("block") == k)).orderBy("source").select("source", "v").toArrow()
         if not len(t):
             continue
-        own = np.array(t.column("source").to_pylist())
+        names, own = t.column("source").combine_chunks(), np.array(t.column("source").to_pylist())
         raw = np.array(t.column("v").to_pylist(), float)
         learned, flat = _standard(raw), np.ptp(raw, axis=1) == 0
 
-        def run(batches, own=own, learned=learned, flat=flat):
+        def run(batches, names=names, own=own, learned=learned, flat=flat):
             for b in batches:
                 if not b.num_rows:
                     continue
@@ -84,7 +84,7 @@ def best_correlated(targets: DataFrame, sources: DataFrame, key: str, vector: st
                 at = score.argmax(axis=1)
                 best = score[np.arange(len(at)), at]
                 ok = best > -2
-                yield pa.record_batch([b.column(0).filter(pa.array(ok)), pa.array(own[at[ok]]), pa.array(best[ok])], [key, "source", "score"])
+                yield pa.record_batch([b.column(0).filter(pa.array(ok)), names.take(pa.array(at[ok])), pa.array(best[ok])], [key, "source", "score"])
 
         kind, of = targets.schema[key].dataType.simpleString(), sources.schema[key].dataType.simpleString()
         part = targets.select(key, vector).filter(F.col(vector).isNotNull()).mapInArrow(run, f"{key} {kind}, source {of}, score double")

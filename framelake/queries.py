@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.functions import curves, dates, geometry, pixels
@@ -43,7 +43,8 @@ def rounded(df: DataFrame, **places: int) -> DataFrame:
     return df.withColumns({c: F.round(c, n) for c, n in places.items()})
 
 
-DAY = F.to_date("ts")
+def day() -> Column:
+    return F.to_date("ts")
 
 
 # --- screening and profiles
@@ -133,7 +134,10 @@ def q_blue_ratio(spark, sf_dir):
     return rounded(profiles.mean_or_default(read(spark, sf_dir, "lineitem"), ["l_suppkey", "l_returnflag", "l_linestatus"], share), blue_ratio=6)
 
 
-GREEN = pixels.greenness(F.col("l_quantity") / 50, F.col("l_tax"), F.col("l_discount"))
+def green() -> Column:
+    return pixels.greenness(F.col("l_quantity") / 50, F.col("l_tax"), F.col("l_discount"))
+
+
 GREEN_SQL = "CASE WHEN l_quantity / 50 + l_tax + l_discount > 0 THEN l_tax / (l_quantity / 50 + l_tax + l_discount) ELSE 0 END"
 
 
@@ -143,7 +147,7 @@ f AS (SELECT CAST(l_shipdate AS DATE) AS date, count(DISTINCT l_orderkey) AS n_i
 SELECT m.date, CAST(dayofyear(m.date) AS INTEGER) AS doy, round(avg(v), 6) AS mean_gr, n_images FROM m JOIN f ON m.date = f.date GROUP BY m.date, n_images
 """, dates=('date',))
 def q_greenness_daily_max(spark, sf_dir):
-    out = series.daily_greenness(read(spark, sf_dir, "lineitem"), F.to_date("l_shipdate"), ["l_suppkey"], GREEN, F.col("l_orderkey"))
+    out = series.daily_greenness(read(spark, sf_dir, "lineitem"), F.to_date("l_shipdate"), ["l_suppkey"], green(), F.col("l_orderkey"))
     return rounded(out, mean_gr=6)
 
 
@@ -151,13 +155,15 @@ def q_greenness_daily_max(spark, sf_dir):
 SELECT l_orderkey, CAST(min(l_shipdate) AS DATE) AS date, round(avg({GREEN_SQL}), 6) AS mean_gr, CAST(1 AS INTEGER) AS n_images FROM lineitem GROUP BY 1
 """, dates=('date',))
 def q_greenness_per_obs(spark, sf_dir):
-    x = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.to_date(F.min("l_shipdate")).alias("date"), F.round(F.avg(GREEN), 6).alias("mean_gr"))
+    x = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.to_date(F.min("l_shipdate")).alias("date"), F.round(F.avg(green()), 6).alias("mean_gr"))
     return x.withColumn("n_images", F.lit(1))
 
 
 # --- thresholds
 
-LEVEL = F.least(F.floor(F.col("n_chars") / 20.0), F.lit(255))
+
+def level() -> Column:
+    return F.least(F.floor(F.col("n_chars") / 20.0), F.lit(255))
 
 
 @query("""
@@ -167,7 +173,7 @@ SELECT g.lang, CAST(b.bin AS INTEGER) AS bin, coalesce(h.n, 0) AS n, round(coale
 FROM g CROSS JOIN range(256) b(bin) LEFT JOIN h ON h.lang = g.lang AND h.bin = b.bin
 """)
 def q_histogram_256(spark, sf_dir):
-    return rounded(profiles.histogram(read(spark, sf_dir, "documents"), ["lang"], LEVEL), share=9)
+    return rounded(profiles.histogram(read(spark, sf_dir, "documents"), ["lang"], level()), share=9)
 
 
 @query("""
@@ -181,7 +187,7 @@ QUALIFY row_number() OVER (PARTITION BY lang ORDER BY f1 DESC, t) = 1
 """)
 def q_f1_threshold(spark, sf_dir):
     d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
-    out = thresholds.best_f1_threshold(d, ["lang"], LEVEL, F.col("quality") == 1)
+    out = thresholds.best_f1_threshold(d, ["lang"], level(), F.col("quality") == 1)
     return rounded(out, fit_prec=6, fit_rec=6, fit_f1=6)
 
 
@@ -193,7 +199,7 @@ v AS (SELECT lang, bin, round(CAST(w AS DOUBLE) * (tw - w) * pow(m / CAST(w AS D
 SELECT lang, bin AS threshold FROM v QUALIFY row_number() OVER (PARTITION BY lang ORDER BY v DESC, bin) = 1
 """)
 def q_otsu_threshold(spark, sf_dir):
-    counts = read(spark, sf_dir, "documents").groupBy("lang", LEVEL.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    counts = read(spark, sf_dir, "documents").groupBy("lang", level().cast("int").alias("bin")).agg(F.count("*").alias("n"))
     return thresholds.otsu_threshold(counts, ["lang"], "bin", "n")
 
 
@@ -250,7 +256,7 @@ def q_snow_classify_stats(spark, sf_dir):
 
 def cells(events: DataFrame, kind: str | None = None) -> DataFrame:
     x = events if kind is None else events.filter(F.col("event_type") == kind)
-    return x.select("user_id", DAY.alias("day")).distinct()
+    return x.select("user_id", day().alias("day")).distinct()
 
 
 @query("""
@@ -259,7 +265,7 @@ WHERE NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND CAST(x.
 """, dates=('day',))
 def q_valid_mask(spark, sf_dir):
     e = read(spark, sf_dir, "events")
-    return masks.valid_pixels(cells(e), e.select("user_id", DAY.alias("day"), F.col("event_type").alias("prompt")), ["user_id", "day"], ["error", "signup"])
+    return masks.valid_pixels(cells(e), e.select("user_id", day().alias("day"), F.col("event_type").alias("prompt")), ["user_id", "day"], ["error", "signup"])
 
 
 @query("""
@@ -267,7 +273,7 @@ SELECT user_id, CAST(ts AS DATE) AS day, ['error','purchase','view'][min(list_po
 FROM events WHERE event_type IN ('error','purchase','view') GROUP BY 1, 2
 """, dates=('day',))
 def q_priority_masks(spark, sf_dir):
-    m = read(spark, sf_dir, "events").select("user_id", DAY.alias("day"), F.col("event_type").alias("prompt"))
+    m = read(spark, sf_dir, "events").select("user_id", day().alias("day"), F.col("event_type").alias("prompt"))
     return masks.resolve_priority(m, ["user_id", "day"], ["error", "purchase", "view"])
 
 
@@ -341,7 +347,7 @@ def q_segment_medians(spark, sf_dir):
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean value of each event type and day."""
-    return read(spark, sf_dir, "events").groupBy("event_type", DAY.alias("day")).agg(F.round(F.avg("value"), 6).alias("v"))
+    return read(spark, sf_dir, "events").groupBy("event_type", day().alias("day")).agg(F.round(F.avg("value"), 6).alias("v"))
 
 
 DAILY_SQL = "d AS (SELECT event_type, CAST(ts AS DATE) AS day, round(avg(value), 6) AS v FROM events GROUP BY 1, 2)"
@@ -372,12 +378,9 @@ def q_image_weights(spark, sf_dir):
     return rounded(series.image_weights(x, ["event_type"], "day").select("event_type", "day", "weight"), weight=6)
 
 
-WEIGHT = F.when(F.col("event_type") == "purchase", 1.0).when(F.col("event_type") == "view", 0.5).otherwise(0.3)
-SNOW = (F.col("value") >= 40).cast("double")
-
-
 def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.daily_weighted(read(spark, sf_dir, "events"), ["user_id"], DAY, SNOW, WEIGHT)
+    weight = F.when(F.col("event_type") == "purchase", 1.0).when(F.col("event_type") == "view", 0.5).otherwise(0.3)
+    return series.daily_weighted(read(spark, sf_dir, "events"), ["user_id"], day(), (F.col("value") >= 40).cast("double"), weight)
 
 
 W_SQL = """
@@ -455,7 +458,7 @@ def q_double_sigmoid_eval(spark, sf_dir):
 
 @query()
 def q_phenology_fit(spark, sf_dir):
-    x = read(spark, sf_dir, "lineitem").groupBy("l_linenumber", F.dayofyear("l_shipdate").alias("doy")).agg(F.avg(GREEN).alias("v"))
+    x = read(spark, sf_dir, "lineitem").groupBy("l_linenumber", F.dayofyear("l_shipdate").alias("doy")).agg(F.avg(green()).alias("v"))
     return series.sigmoid_phenology(x, ["l_linenumber"], "doy", "v", min_range=0.0)
 
 
@@ -467,7 +470,7 @@ r AS (SELECT day, x, y, CASE WHEN j < 0 THEN -1 - j WHEN j >= n THEN 2 * n - 1 -
 SELECT r.day, r.x, r.y, round(quantile_cont(n.y, 0.5), 6) AS smooth FROM r JOIN n ON n.day = r.day AND n.i = r.j GROUP BY 1, 2, 3
 """, dates=('day',))
 def q_skyline_median(spark, sf_dir):
-    d = read(spark, sf_dir, "events").groupBy(DAY.alias("day"), F.hour("ts").alias("x")).agg(F.min("value").alias("y"))
+    d = read(spark, sf_dir, "events").groupBy(day().alias("day"), F.hour("ts").alias("x")).agg(F.min("value").alias("y"))
     return rounded(series.moving_median(d, ["day"], "x", "y", 5), smooth=6)
 
 
@@ -600,7 +603,7 @@ def q_parse_timestamp(spark, sf_dir):
 @query("""SELECT event_id, CAST(dayofyear(ts) AS INTEGER) AS doy, CAST(ts AS DATE) AS date, round(hour(ts) + minute(ts) / 60.0::DOUBLE, 6) AS hour,
 round(1 - least(abs(hour(ts) + minute(ts) / 60.0::DOUBLE - 12) / 6.0::DOUBLE, 1), 6) AS noon FROM events""", dates=('date',))
 def q_day_of_year(spark, sf_dir):
-    return read(spark, sf_dir, "events").select("event_id", F.dayofyear("ts").alias("doy"), DAY.alias("date"), F.round(dates.hour_fraction(F.col("ts")), 6).alias("hour"), F.round(dates.noon_score(F.col("ts")), 6).alias("noon"))
+    return read(spark, sf_dir, "events").select("event_id", F.dayofyear("ts").alias("doy"), day().alias("date"), F.round(dates.hour_fraction(F.col("ts")), 6).alias("hour"), F.round(dates.noon_score(F.col("ts")), 6).alias("noon"))
 
 
 @query("SELECT doc_id, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents")
@@ -611,7 +614,7 @@ def q_sha256_manifest(spark, sf_dir):
 @query("""SELECT CAST(ts AS DATE) AS day, event_id FROM events
 QUALIFY row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) = count(*) OVER (PARTITION BY CAST(ts AS DATE)) // 2 + 1""", dates=('day',))
 def q_middle_of_day(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select(DAY.alias("day"), "ts", "event_id")
+    e = read(spark, sf_dir, "events").select(day().alias("day"), "ts", "event_id")
     return matching.middle_rows(e, ["day"], ["ts", "event_id"]).select("day", "event_id")
 
 
@@ -641,5 +644,5 @@ def q_outside_mask(spark, sf_dir):
 @query("SELECT count(*) AS n_images, count(DISTINCT CAST(ts AS DATE)) AS n_days, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, min(value) AS min, max(value) AS max, event_type FROM events GROUP BY event_type")
 def q_summary(spark, sf_dir):
     v = F.col("value")
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n_images"), F.countDistinct(DAY).alias("n_days"), F.round(F.avg(v), 6).alias("mean"), F.round(F.percentile(v, F.lit(0.5)), 6).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n_images"), F.countDistinct(day()).alias("n_days"), F.round(F.avg(v), 6).alias("mean"), F.round(F.percentile(v, F.lit(0.5)), 6).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"))
 
