@@ -83,6 +83,22 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def frequent_words(counts: DataFrame) -> DataFrame:
+    """The words that occur at least so often that NEAR words at most do.
+
+    The bound is read off how many words occur how often, so no task sorts words:
+    only the NEAR largest of these numbers, each a row, reach the driver.
+    """
+    words = counts.filter(F.length("word") > 0)
+    left, least = NEAR, None
+    for r in words.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.col("n").desc()).limit(NEAR).collect():
+        left -= r["words"]
+        if left < 0:
+            break
+        least = r["n"]
+    return words.filter(F.lit(False) if least is None else F.col("n") >= least).select("word", "n")
+
+
 def hashed_class(word: bytes) -> int:
     return 1 + TOP + zlib.crc32(word[-3:]) % HASHED
 
@@ -331,7 +347,7 @@ def hmm_scores(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     counts = Table(counts, "word-counts").df
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("kinds")).first()
     room = sums["total"] + 0.1 * (sums["kinds"] + 1)
-    most = counts.filter(F.length("word") > 0).orderBy(F.col("n").desc(), "word").limit(NEAR).select("word", "n").toArrow()
+    most = frequent_words(counts).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     words, times = (most.column(c).to_pylist() for c in ("word", "n"))
     near = {bytes(w): ((n + 0.1) / room, min(k + 1, TOP) if k < TOP else hashed_class(w)) for k, (w, n) in enumerate(zip(words, times, strict=True))}
     ends = counts.filter(F.length("word") == 0).first()
