@@ -1,34 +1,40 @@
 """SimHash near-dedup with pivot distance tables.
 
-Every distinct fingerprint gets a row of the pivot table: its Hamming distances to
+Every distinct fingerprint has a row of the pivot table: its Hamming distances to
 ``PIVOTS`` fixed reference fingerprints. By the triangle inequality, fingerprints
 within ``max_bits`` of each other differ by at most ``max_bits`` at every pivot, so a
 pair with a larger difference at any pivot is discarded without being compared; the
 pairs that survive are verified.
 
-Which pairs meet at all: a fingerprint's bits are cut into ``max_bits + 2`` segments.
-Two fingerprints with at most ``max_bits`` differing bits agree in at least two of
-them, so each fingerprint is filed under every pair of segments (ten files for three
-bits, keys of 25 or 26 bits), and only fingerprints under the same key meet. This
-loses no pair. Large groups under a key are dealt out as pairs of blocks. From each
-block pair only a spanning forest of its links is emitted, never all pairs.
+Which pairs meet at all depends on the radius. For a few bits, the fingerprint is cut
+into ``max_bits + 2`` segments: two fingerprints with at most ``max_bits`` differing
+bits agree in at least two of them, so each is filed under every pair of segments (ten
+files for three bits, keys of 25 or 26 bits), and only fingerprints under the same key
+meet. This loses no pair. For a similarity, where many bits may differ, fingerprints
+of several words are filed under samples of their bits; the number of files follows
+from the wanted recall, and the size of a sample grows with the logarithm of the
+number of fingerprints, so that keys stay as selective at any size.
+
+Large groups under a key are dealt out as pairs of blocks. From each block pair only a
+spanning forest of its links is emitted, never all pairs.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm.common import EDGE, Table, batch, bounded_batches, components, documents, local_roots, mix64, raw, text_of
 
-#: Reference fingerprints of the pivot table; distances fit in a byte, eight to a long.
+#: Reference fingerprints of the pivot table.
 PIVOTS = 16
 #: Fingerprints of one key that are compared with each other in one block.
 BLOCK = 2048
@@ -60,26 +66,54 @@ def shingle_hashes(text: bytes, k: int, seed: int) -> Iterator[np.ndarray]:
         yield np.array([digest(join(held), seed)], np.uint64)
 
 
-def fingerprint(text: bytes, k: int, seed: int) -> int:
-    """Bits set in over half of the shingles' hashes; 0 for a text without words."""
-    ones, n = np.zeros(64, np.int64), 0
-    for h in shingle_hashes(text, k, seed):
+def fingerprint(text: bytes, k: int, seed: int, words: int = 1, repeats: bool = True) -> list[int]:
+    """Bits set in over half of the shingles' hashes, as signed 64-bit words.
+
+    One word: the XXH64 hashes themselves, and 0 for a text without shingles.
+    More words: hashes derived from them, and a text without shingles has the
+    bits of an empty one. Without ``repeats``, equal shingles count once.
+    """
+    ones, n = np.zeros((words, 64), np.int64), 0
+    found = shingle_hashes(text, k, seed)
+    if not repeats:
+        parts = [*found]
+        found = iter([np.unique(np.concatenate(parts))] if parts else [])
+    for h in found if words == 1 else itertools.chain(_first_or(found, xxhash.xxh64_intdigest(b"", seed))):
         for part in np.array_split(h, len(h) // 65536 + 1):
-            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            for w in range(words):
+                own = part if not w else mix64(part + np.uint64(w * 0x9E3779B97F4A7C15 % 2**64))
+                ones[w] += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(h)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little", signed=True)
+    return [int.from_bytes(np.packbits(2 * row > n, bitorder="little").tobytes(), "little", signed=True) for row in ones]
+
+
+def _first_or(found: Iterator[np.ndarray], default: int) -> Iterator[np.ndarray]:
+    any_found = False
+    for h in found:
+        any_found = True
+        yield h
+    if not any_found:
+        yield np.array([default], np.uint64)
 
 
-def fingerprints(df: DataFrame, id_column: str, text_column: str, shingle_words: int, seed: int) -> DataFrame:
+def print_columns(words: int) -> list[str]:
+    return [f"fp{w}" for w in range(words)]
+
+
+def fingerprints(df: DataFrame, id_column: str, text_column: str, shingle_words: int, seed: int, words: int = 1, repeats: bool = True) -> DataFrame:
+    """``id, row, fp0, ...`` of every row."""
     bounded_batches(df.sparkSession)
+    names = print_columns(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([fingerprint(t, shingle_words, seed) for t in raw(b.column(2))], pa.int64())], ["id", "row", "fp"])
+            prints = np.array([fingerprint(t, shingle_words, seed, words, repeats) for t in raw(b.column(2))], np.int64).reshape(-1, words)
+            yield pa.record_batch([b.column(0), b.column(1), *(pa.array(prints[:, w]) for w in range(words))], ["id", "row", *names])
 
     kind = df.schema[id_column].dataType.simpleString()
     text = text_of(text_column).cast("string")
-    return df.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("row"), text.alias("text")).mapInArrow(run, f"id {kind}, row long, fp long")
+    fields = ", ".join(f"{n} long" for n in names)
+    return df.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("row"), text.alias("text")).mapInArrow(run, f"id {kind}, row long, {fields}")
 
 
 def segments(parts: int) -> list[int]:
@@ -92,29 +126,49 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def pivot_columns() -> list[Column]:
-    """The pivot table's row for ``fp``: eight distances to a long."""
-    refs = [signed(int(x)) for x in mix64(np.arange(1, PIVOTS + 1, dtype=np.uint64))]
-    packed = []
-    for at in range(0, PIVOTS, 8):
-        byte = [F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(r))).cast("long"), 8 * i) for i, r in enumerate(refs[at : at + 8])]
-        packed.append(sum(byte[1:], byte[0]).alias(f"d{at // 8}"))
-    return packed
+def segment_masks(max_bits: int) -> list[list[int]]:
+    """A mask for every pair of segments of one word: two fingerprints within max_bits agree under one of them."""
+    return [[a | b] for a, b in itertools.combinations(segments(max_bits + 2), 2)]
+
 
+def sampled_masks(words: int, n: int, similarity: float, recall: float, seed: int = 5) -> list[list[int]]:
+    """Masks of sampled bits: a pair at the similarity agrees under one of them with probability ``recall`` at least.
 
-def _within(table: list[np.ndarray], fp: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    Bits of a pair with Jaccard similarity s differ with probability acos(2 s /
+    (1 + s)) / pi. Samples have 14 bits, and one more for each doubling of the
+    fingerprints beyond 2 ** 18.
+    """
+    same = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    size = max(14, math.ceil(math.log2(max(n, 2))) - 4)
+    files = math.ceil(math.log(1 - recall) / math.log(1 - same**size))
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(files):
+        bits = rng.choice(64 * words, size, replace=False).tolist()
+        out.append([sum(1 << (b % 64) for b in bits if b // 64 == w) for w in range(words)])
+    return out
+
+
+def pivot_table(fp: np.ndarray) -> np.ndarray:
+    """Distances of fingerprints (rows of 64-bit words) to the references."""
+    words = fp.shape[1]
+    refs = mix64(np.arange(1, PIVOTS * words + 1, dtype=np.uint64)).reshape(PIVOTS, words)
+    return np.stack([np.bitwise_count(fp ^ r).sum(axis=1, dtype=np.int16) for r in refs], axis=1)
+
+
+def _within(table: np.ndarray, fp: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows that survive the pivot table, verified."""
-    for column in table:
-        near = np.abs(column[a] - column[b]).max(axis=1) <= most
+    for lo in range(0, PIVOTS, 8):
+        near = np.abs(table[a, lo : lo + 8] - table[b, lo : lo + 8]).max(axis=1) <= most
         a, b = a[near], b[near]
-    ok = np.bitwise_count(fp[a] ^ fp[b]) <= most
+    ok = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1, dtype=np.int64) <= most
     return a[ok], b[ok]
 
 
 def _linker(most: int):
-    def links(group: np.ndarray, fp: np.ndarray, d: list[np.ndarray]) -> pa.RecordBatch | None:
+    def links(group: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
         # Rows of a group are adjacent: compare each row with the one d places on, while any group is that large.
-        table = [x.view(np.uint8).reshape(-1, 8).astype(np.int16) for x in d]
+        table = pivot_table(fp)
         found_a, found_b = [], []
         a = np.arange(len(group))
         for gap in itertools.count(1):
@@ -122,12 +176,15 @@ def _linker(most: int):
             a = a[group[a] == group[a + gap]]
             if not len(a):
                 break
-            x, y = _within(table, fp.view(np.uint64), a, a + gap, most)
+            x, y = _within(table, fp, a, a + gap, most)
             if len(x):
                 found_a.append(x), found_b.append(y)
+            if sum(map(len, found_a)) > 500_000:
+                # What is linked so far shrinks to its forest, so a dense group doesn't pile up pairs.
+                found_a, found_b = ([e] for e in local_roots(np.concatenate(found_a), np.concatenate(found_b)))
         if not found_a:
             return None
-        nodes, roots = local_roots(fp[np.concatenate(found_a)], fp[np.concatenate(found_b)])
+        nodes, roots = local_roots(node[np.concatenate(found_a)], node[np.concatenate(found_b)])
         own = nodes != roots
         return batch(EDGE, nodes[own], roots[own])
 
@@ -137,9 +194,9 @@ def _linker(most: int):
 
         def flush(last: bool) -> tuple[pa.RecordBatch | None, list[pa.RecordBatch]]:
             t = pa.Table.from_batches(held).combine_chunks()
-            group, fp, *d = (t.column(i).to_numpy() for i in range(t.num_columns))
+            group, node, *words = (t.column(i).to_numpy() for i in range(t.num_columns))
             end = len(group) if last else int(np.flatnonzero(group != group[-1])[-1] + 1) if group[0] != group[-1] else 0
-            out = links(group[:end], fp[:end], [x[:end] for x in d]) if end else None
+            out = links(group[:end], node[:end], np.stack(words, axis=1)[:end].view(np.uint64)) if end else None
             return out, t.slice(end).to_batches()
 
         for b in batches:
@@ -158,41 +215,57 @@ def _linker(most: int):
     return run
 
 
-def fingerprint_links(distinct: DataFrame, max_bits: int = 3, block: int = BLOCK) -> DataFrame:
-    """``node, root``: a forest whose trees are the components of distinct fingerprints (column ``fp``)."""
-    masks = segments(max_bits + 2)
-    keys = [F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(signed(a | b)))) for n, (a, b) in enumerate(itertools.combinations(masks, 2))]
-    filed = Table(distinct.select(F.explode(F.array(*keys)).alias("key"), "fp"), "pivot-files").df
-    shared = filed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = filed.join(shared, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    met = met.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+def fingerprint_links(distinct: DataFrame, masks: list[list[int]], max_bits: int, block: int = BLOCK, broadcast_keys: int = 1_000_000) -> DataFrame:
+    """``node, root``: a forest whose trees are the components of distinct fingerprints (``node, fp0, ...``) that meet under a mask."""
+    names = [c for c in distinct.columns if c != "node"]
+    key = lambda n, mask: F.xxhash64(F.lit(n), *(F.col(c).bitwiseAND(F.lit(signed(m))) for c, m in zip(names, mask, strict=True)))
+    filed = distinct.select("node", *names, F.explode(F.array(*(key(n, m) for n, m in enumerate(masks)))).alias("key"))
+    counts = filed.groupBy("key").agg(F.count("*").alias("n"))
+    # Keys of one block or less need no split; the others are few, and are broadcast if they are.
+    large = Table(counts.filter(F.col("n") > block), "large-keys").df
+    few = large.limit(broadcast_keys + 1).count() <= broadcast_keys
+    met = filed.join(F.broadcast(large) if few else large, "key", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int"))
+    met = met.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # A row of block i goes to the block pairs (i, j) and (j, i) with the smaller one first.
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group")
-    dealt = met.select(group, "fp", *pivot_columns()).repartition("group").sortWithinPartitions("group")
+    dealt = met.select(group, "node", *names).repartition("group").sortWithinPartitions("group")
     return dealt.mapInArrow(_linker(max_bits), "node long, root long")
 
 
-def simhash_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 3, max_bits: int = 3, seed: int = 42) -> DataFrame:
-    """One row per input row: ``id, row, fp, component_id, root`` (the smallest id reachable by links, itself included).
+def simhash_groups(
+    df: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 3, max_bits: int = 3, seed: int = 42,
+    words: int = 1, repeats: bool = True, similarity: float | None = None, recall: float = 0.97,
+) -> DataFrame:
+    """One row per input row: ``id, row, fp0, ..., component_id, root``; component_id is the smallest id reachable by links, itself included.
+
+    Fingerprints of 64 * words bits link at ``max_bits`` or fewer differing ones.
+    Without a ``similarity`` (and with one word) all such pairs are found; with
+    it, pairs of that Jaccard similarity with probability ``recall``, more
+    similar ones with a higher one.
 
-    Texts without words, null ones among them, have fingerprint 0 and are linked
-    like any other. Texts with the same words have the same fingerprint: they
-    are linked once, by it. Null ids don't count as smallest unless a group has
-    no other. ``row`` is the XXH64 of the text, which tells rows apart that share
-    an id; ``root`` names the component by a fingerprint. An empty table gives an empty result. Other columns are ignored.
+    Texts without words, null ones among them, are equal to each other. Texts
+    with the same words have the same fingerprint: they are linked once, by it.
+    Null ids don't count as smallest unless a group has no other. ``row`` is the
+    XXH64 of the text, which tells rows apart that share an id; ``root`` names
+    the component. An empty table gives an empty result. Other columns are ignored.
     """
-    prints = Table(fingerprints(df, id_column, text_column, shingle_words, seed), "fingerprints").df
-    distinct = Table(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct-prints").df
-    roots = components(fingerprint_links(distinct.select("fp"), max_bits))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    if words > 1 and similarity is None:
+        raise ValueError("fingerprints of several words need a similarity")
+    names = print_columns(words)
+    prints = Table(fingerprints(df, id_column, text_column, shingle_words, seed, words, repeats), "fingerprints").df
+    node = F.col("fp0") if words == 1 else F.xxhash64(*names)
+    distinct = Table(prints.groupBy(*names).agg(F.min("id").alias("least")).withColumn("node", node), "distinct-prints").df
+    masks = segment_masks(max_bits) if similarity is None else sampled_masks(words, distinct.count(), similarity, recall)
+    roots = components(fingerprint_links(distinct.select("node", *names), masks, max_bits))
+    rooted = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = Table(rooted, "rooted-prints").df
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id", "root")
-    return prints.join(named, "fp", "left").select("id", "row", "fp", "component_id", "root")
+    named = rooted.join(least, "root").select(*names, "component_id", "root")
+    return prints.join(named, names, "left").select("id", "row", *names, "component_id", "root")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fingerprint and the component of every row of ``documents``."""
     out = simhash_groups(documents(spark, sf_dir))
-    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")

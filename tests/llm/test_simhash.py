@@ -1,7 +1,7 @@
 import random
 
 import xxhash
-from framelake.llm.simhash import fingerprint, simhash_groups
+from framelake.llm.simhash import fingerprint, sampled_masks, segment_masks, simhash_groups
 
 from tests.llm.conftest import docs
 
@@ -38,7 +38,7 @@ def check(df, rows):
         if i is not None:
             least[root[f]] = min(i, least.get(root[f], i))
     got = simhash_groups(df).collect()
-    assert sorted((str(r["id"]), r["fp"] % 2**64, r["component_id"]) for r in got) == sorted((str(i), prints[i, t], least.get(root[prints[i, t]])) for i, t in rows)
+    assert sorted((str(r["id"]), r["fp0"] % 2**64, r["component_id"]) for r in got) == sorted((str(i), prints[i, t], least.get(root[prints[i, t]])) for i, t in rows)
 
 
 def test_fingerprints_and_components_of_odd_rows(odd, odd_rows):
@@ -64,8 +64,8 @@ def test_blocks_of_large_groups(spark):
     rng = random.Random(4)
     center = rng.getrandbits(63)
     prints = list({center ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(4))) for _ in range(300)})
-    df = spark.createDataFrame([(f,) for f in prints], "fp long")
-    got = {r["node"]: r["root"] for r in connect(simhash.fingerprint_links(df, 3, block=20)).collect()}
+    df = spark.createDataFrame([(f, f) for f in prints], "node long, fp0 long")
+    got = {r["node"]: r["root"] for r in connect(simhash.fingerprint_links(df, simhash.segment_masks(3), 3, block=20)).collect()}
     root = components(prints)
     assert {f: got.get(f, f) for f in prints} == root
 
@@ -74,9 +74,41 @@ def test_very_long_texts_come_in_blocks(monkeypatch):
     from framelake.llm import simhash
 
     text = " ".join(f"W{i % 977}" for i in range(5000)).encode()
-    whole = fingerprint(text, 3, 42)
+    whole = fingerprint(text, 3, 42), fingerprint(text, 3, 42, 4, False)
     monkeypatch.setattr(simhash, "word_blocks", lambda t, size=7: iter([t.lower().split()[i : i + 7] for i in range(0, 5000, 7)]))
-    assert simhash.fingerprint(text, 3, 42) == whole
+    assert (simhash.fingerprint(text, 3, 42), simhash.fingerprint(text, 3, 42, 4, False)) == whole
+
+
+def test_recall_at_a_similarity(spark):
+    rng = random.Random(11)
+    rows, pairs = [], []
+    for n in range(120):
+        words = [f"{rng.randrange(10**7)}" for _ in range(300)]
+        edited = list(words)
+        # Five shingles change with each edited word: 6 edits of 300 words leave a similarity of 0.82.
+        for at in rng.sample(range(0, 300, 10), 6):
+            edited[at] = "edit"
+        far = list(words)
+        for at in rng.sample(range(0, 300, 10), 20):
+            far[at] = f"far{rng.randrange(10**7)}"
+        rows += [(3 * n, " ".join(words)), (3 * n + 1, " ".join(edited)), (3 * n + 2, " ".join(far))]
+    got = {r["id"]: r["component_id"] for r in simhash_groups(docs(spark, rows), shingle_words=5, words=4, repeats=False, max_bits=48, similarity=0.8).collect()}
+    assert sum(got[3 * n + 1] == 3 * n for n in range(120)) >= 112
+    assert all(got[3 * n] == 3 * n and got[3 * n + 2] == 3 * n + 2 for n in range(120))
+
+
+def test_words_and_similarity_of_odd_rows(odd, odd_rows):
+    got = simhash_groups(odd, shingle_words=5, words=4, repeats=False, max_bits=48, similarity=0.8).collect()
+    by_root: dict = {}
+    for r in got:
+        by_root.setdefault(r["root"], set()).add(r["id"])
+    assert len(got) == len(odd_rows) and {1, 2, 3, None} in by_root.values() and {7, 8} in by_root.values() and {13, 14, 15} in by_root.values()
+
+
+def test_masks_cover_their_promises():
+    assert len(segment_masks(3)) == 10
+    assert len(sampled_masks(4, 10**5, 0.8, 0.97)) < 40 and all(sum(m.bit_count() for m in s) == 14 for s in sampled_masks(4, 10**5, 0.8, 0.97))
+    assert sum(m.bit_count() for m in sampled_masks(4, 2**30, 0.8, 0.97)[0]) == 26
 
 
 def test_empty_table(none):
