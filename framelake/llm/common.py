@@ -131,6 +131,8 @@ def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             root = up
 
 
+#: Edges that one task contracts at once (16 MB).
+EDGES = 1_000_000
 EDGE = pa.schema([("node", pa.int64()), ("root", pa.int64())])
 
 
@@ -147,7 +149,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
         n += b.num_rows
-        if n >= 1_000_000:
+        if n >= EDGES:
             yield stars()
             held, n = [], 0
     if n:
@@ -157,25 +159,26 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for all nodes of the edges (two long columns): root is the smallest node reachable.
 
-    Each round contracts edges within partitions, hooks a node's other roots to
-    its smallest one and halves paths; rounds grow with the logarithm of the
-    longest path. Nothing is collected: only two counts reach the driver. A node
-    that is its own root isn't listed. No edges: an empty table.
+    Each round contracts edges within partitions of up to EDGES edges, hooks a
+    node's other roots to its smallest one and halves paths; rounds grow with the
+    logarithm of the longest path. A partition that holds all edges left is
+    contracted to the result at once. Nothing is collected: only counts reach
+    the driver. A node that is its own root isn't listed. No edges: an empty table.
     """
     a, b = edges.columns[:2]
-    spark = edges.sparkSession
-    current = edges.select(F.col(a).cast("long").alias("node"), F.col(b).cast("long").alias("root")).filter("node <> root")
-    last: Table | None = None
+    own = edges.select(F.col(a).cast("long").alias("node"), F.col(b).cast("long").alias("root")).filter("node <> root")
+    last = Table(own, "edges")
     while True:
-        stars = Table(current.mapInArrow(_contract, "node long, root long"), "stars")
-        if last:
-            last.drop()
+        parts = -(-last.df.count() // EDGES)
+        stars = Table(last.df.select("node", "root").coalesce(max(1, parts)).mapInArrow(_contract, "node long, root long"), "stars")
+        last.drop()
+        if parts <= 1:
+            return stars.df
         least = stars.df.groupBy("node").agg(F.min("root").alias("least"))
         merged = stars.df.join(least, "node").filter("root <> least").select(F.col("root").alias("node"), F.col("least").alias("root"))
         up = least.select(F.col("node").alias("root"), F.col("least").alias("above"))
         halved = least.withColumnRenamed("least", "root").join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().cast("int").alias("open"))
-        step = Table(halved.unionByName(merged.distinct().withColumn("open", F.lit(1))), "forest")
+        last = Table(halved.unionByName(merged.distinct().withColumn("open", F.lit(1))), "forest")
         stars.drop()
-        if not step.df.filter("open = 1").limit(1).count():
-            return step.df.select("node", "root")
-        current, last = step.df.select("node", "root"), step
+        if not last.df.filter("open = 1").limit(1).count():
+            return last.df.select("node", "root")

@@ -56,7 +56,11 @@ def test_run_gives_the_last_stage(spark, stages):
     assert sorted(map(str, corpus_pipeline.run(spark, SF).select("doc_id", "piece", "ids_crc32").collect())) == sorted(map(str, stages[5].select("doc_id", "piece", "ids_crc32").collect()))
 
 
-def test_components_of_long_chains(spark):
+@pytest.mark.parametrize("held", [10**6, 40])
+def test_components_of_long_chains(spark, monkeypatch, held):
+    from framelake.llm import common
+
+    monkeypatch.setattr(common, "EDGES", held)
     edges = [(i + 1, i) for i in range(300)] + [(1000 + i, 1000) for i in range(50)] + [(2000, 2000)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
     assert got == {i: 0 for i in range(1, 301)} | {1000 + i: 1000 for i in range(1, 50)}
