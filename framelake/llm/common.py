@@ -8,6 +8,9 @@ executor costs the tasks it ran and nothing that is already written.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -39,9 +42,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{local}"
 
 
+_CLEANED: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/framelake/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below this application's part of the shared folder, which is deleted when the driver's Python ends."""
+    own = f"{shared_dir(spark)}/framelake-{spark.sparkContext.applicationId}"
+    if own not in _CLEANED:
+        _CLEANED.add(own)
+        atexit.register(_clean, spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _clean(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended first
+        drop_path(spark, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -114,6 +129,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def lean(run):
+    """A mapInArrow function that gives its memory back to the system when its partition ends.
+
+    Workers live on for later stages, and what they keep would count against those.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes and the smallest node that the given edges connect each with (vectorised hooking)."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)

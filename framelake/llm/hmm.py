@@ -29,7 +29,6 @@ is shuffled.
 from __future__ import annotations
 
 import math
-import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -39,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import Table, bounded_batches, documents, raw
+from framelake.llm.common import Table, bounded_batches, documents, lean, raw
 
 STATES, ROUNDS, RUN = 6, 3, 64
 #: Most frequent words whose counts go to all tasks.
@@ -50,10 +49,10 @@ CLASSES = 1 + TOP + HASHED
 END = 0
 #: The end of a text as a word; no word is empty.
 END_WORD = b""
-#: Distinct words that a counting task holds.
-HELD_WORDS = 400_000
+#: Distinct words that a counting task holds, and rare ones that an encoding task remembers.
+HELD_WORDS, RARE_WORDS = 400_000, 100_000
 #: Words that are scored in step; texts of more words than LONG are products of matrices.
-STEP_WORDS, LONG = 1_000_000, 4096
+STEP_WORDS, LONG = 400_000, 4096
 #: Pseudo-counts that tie a state's emissions to the base.
 PRIOR = 50.0
 
@@ -127,24 +126,18 @@ class Near(dict):
 
     def __missing__(self, word: bytes) -> tuple[int, float, int]:
         value = (hashed_class(word), 0.0, 0)
-        if len(self) >= self.known + HELD_WORDS:
+        if len(self) >= self.known + RARE_WORDS:
             for w in [w for w, v in self.items() if not v[2]]:
                 del self[w]
         self[word] = value
         return value
 
 
-_NEAR: dict[str, Near] = {}
-
-
-def _encoder(near: dict[bytes, tuple[float, int]], token: str, end_score: float, end_known: bool):
+def _encoder(near: dict[bytes, tuple[float, int]], end_score: float, end_known: bool):
     """Classes of each text, the base score of its frequent words, and its rare words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if token not in _NEAR:
-            _NEAR.clear()
-            _NEAR[token] = Near(near)
-        own = _NEAR[token]
+        own = Near(near)
         for b in batches:
             rows = []
             for text in raw(b.column(2)):
@@ -343,7 +336,7 @@ def hmm_scores(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     kind = df.schema[id_column].dataType.simpleString()
     rows = df.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("out", held_out(F.col("id")))
-    counts = rows.filter(~F.col("out")).select("text").mapInArrow(_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = rows.filter(~F.col("out")).select("text").mapInArrow(lean(_counts), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = Table(counts, "word-counts").df
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("kinds")).first()
     room = sums["total"] + 0.1 * (sums["kinds"] + 1)
@@ -356,7 +349,7 @@ def hmm_scores(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     base[END] = end_p
 
     schema = f"id {kind}, held_out boolean, n_tokens long, n_near long, near_score double, classes binary, rare array<binary>"
-    encoded = rows.select("id", F.col("out").alias("held_out"), "text").mapInArrow(_encoder(near, uuid.uuid4().hex, math.log10(end_p), ends is not None), schema)
+    encoded = rows.select("id", F.col("out").alias("held_out"), "text").mapInArrow(lean(_encoder(near, math.log10(end_p), ends is not None)), schema)
     encoded = Table(encoded.withColumn("key", F.monotonically_increasing_id()), "encoded-texts").df
     rare = encoded.select("key", F.explode("rare").alias("word")).join(counts, "word", "left")
     rest = rare.groupBy("key").agg(F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.1) / room)).alias("rest_score"), F.count("n").alias("n_rest"))
@@ -364,12 +357,12 @@ def hmm_scores(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
     model = Model(base, states)
     for _ in range(rounds):
-        got = encoded.filter(~F.col("held_out")).select("classes").mapInArrow(_collector(model), "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
+        got = encoded.filter(~F.col("held_out")).select("classes").mapInArrow(lean(_collector(model)), "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
         total = np.zeros(states + states * states + states * CLASSES)
         for r in got:
             total[r["at"]] = r["value"]
         model.fit(total)
-    gains = Table(encoded.select("key", "classes").mapInArrow(_scorer(model), "key long, gain double"), "gains").df
+    gains = Table(encoded.select("key", "classes").mapInArrow(lean(_scorer(model)), "key long, gain double"), "gains").df
     out = encoded.drop("classes", "rare").join(rest, "key", "left").join(gains, "key")
     base_score = F.col("near_score") + F.coalesce("rest_score", F.lit(0.0))
     return out.select(

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import Table, bounded_batches, documents, strings
+from framelake.llm.common import Table, bounded_batches, documents, lean, strings
 
 #: Tokens of a sequence.
 CAPACITY = 2048
@@ -145,7 +145,7 @@ def pieces(df: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
                 ["id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return df.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    return df.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(lean(run), f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def _pack(capacity: int, level: int, length_at: int):
@@ -172,7 +172,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, nearly_full: float = NEARLY
     """
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema)
     names = items.columns
-    local = Table(items.mapInArrow(_pack(capacity, 0, names.index("length")), f"{fields}, bin long, at long"), "packed-0").df
+    local = Table(items.mapInArrow(lean(_pack(capacity, 0, names.index("length"))), f"{fields}, bin long, at long"), "packed-0").df
     n = max(1, local.rdd.getNumPartitions())
     size = local.groupBy("bin").agg(F.sum("length").alias("length"))
     maps: list[DataFrame] = []
@@ -180,7 +180,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, nearly_full: float = NEARLY
     while n > 1 or not maps:
         level, n = level + 1, max(1, n // fan_in)
         open_bins = size.filter(F.col("length") < int(nearly_full * capacity)).select(F.col("bin").alias("item"), "length")
-        packed = open_bins.repartition(n, "item").mapInArrow(_pack(capacity, level, 1), "item long, length long, bin long, at long")
+        packed = open_bins.repartition(n, "item").mapInArrow(lean(_pack(capacity, level, 1)), "item long, length long, bin long, at long")
         maps.append(Table(packed, f"packed-{level}").df)
         size = maps[-1].groupBy("bin").agg(F.sum("length").alias("length"))
     # From the root down: where each bin of a level ends up.

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framelake.llm.common import bounded_batches, documents, raw
+from framelake.llm.common import bounded_batches, documents, lean, raw
 
 #: Bounds of the training sample.
 MAX_ROWS, MAX_BYTES = 6000, 16_000_000
@@ -40,7 +40,7 @@ NGRAMS = (3, 4)
 REPEAT, REPEAT_WEIGHT = b"same word", 16
 TEXT, TEXT_WEIGHT = b"a text", 100
 #: Words cached by a scoring worker.
-CACHED = 400_000
+CACHED = 200_000
 THRESHOLD = 0.7
 
 
@@ -192,7 +192,7 @@ def quality_scores(df: DataFrame, odds: np.ndarray, bias: float, text_column: st
             score = [own.score(t) for t in raw(b.column(at))]
             yield pa.record_batch([*b.columns, pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32())], [*names, "score", "predicted"])
 
-    return kept.mapInArrow(run, f"{fields}, score double, predicted int")
+    return kept.mapInArrow(lean(run), f"{fields}, score double, predicted int")
 
 
 def quality_classifier(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", threshold: float = THRESHOLD, **bounds: int) -> DataFrame:

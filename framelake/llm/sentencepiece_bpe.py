@@ -30,7 +30,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm.common import bounded_batches, documents, strings
+from framelake.llm.common import bounded_batches, documents, lean, strings
 
 #: Fixed value: the character that stands for a space in pieces.
 SPACE = "▁"
@@ -189,7 +189,7 @@ def sentencepiece_roundtrip(df: DataFrame, model: str, id_column: str = "doc_id"
             yield pa.record_batch(columns, names)
 
     wanted = df.selectExpr(f"`{id_column}` AS id", f"CAST(`{text_column}` AS string) AS text")
-    return wanted.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
+    return wanted.mapInArrow(lean(run), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

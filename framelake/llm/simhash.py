@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import EDGE, Table, batch, bounded_batches, components, documents, local_roots, mix64, raw, text_of
+from framelake.llm.common import EDGE, Table, batch, bounded_batches, components, documents, lean, local_roots, mix64, raw, text_of
 
 #: Reference fingerprints of the pivot table.
 PIVOTS = 16
@@ -113,7 +113,7 @@ def fingerprints(df: DataFrame, id_column: str, text_column: str, shingle_words:
     kind = df.schema[id_column].dataType.simpleString()
     text = text_of(text_column).cast("string")
     fields = ", ".join(f"{n} long" for n in names)
-    return df.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("row"), text.alias("text")).mapInArrow(run, f"id {kind}, row long, {fields}")
+    return df.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("row"), text.alias("text")).mapInArrow(lean(run), f"id {kind}, row long, {fields}")
 
 
 def segments(parts: int) -> list[int]:
@@ -230,7 +230,7 @@ def fingerprint_links(distinct: DataFrame, masks: list[list[int]], max_bits: int
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group")
     dealt = met.select(group, "node", *names).repartition("group").sortWithinPartitions("group")
-    return dealt.mapInArrow(_linker(max_bits), "node long, root long")
+    return dealt.mapInArrow(lean(_linker(max_bits)), "node long, root long")
 
 
 def simhash_groups(

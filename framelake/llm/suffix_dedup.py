@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import Table, bounded_batches, documents, mix64, raw, text_of
+from framelake.llm.common import Table, bounded_batches, documents, lean, mix64, raw, text_of
 
 LENGTH = 400
 #: Window starts of a text that are ranked at once; long texts come in blocks.
@@ -251,7 +251,7 @@ def repeated_runs(rows: DataFrame, length: int = LENGTH, broadcast_keys: int = B
     """``id, row, first, n``: runs of starts of windows that occur more than once, of rows ``id, row, text``."""
     bounded_batches(rows.sparkSession)
     kind = rows.schema["id"].dataType.simpleString()
-    found = Table(rows.mapInArrow(_anchor_rows(length), f"id {kind}, row long, rank long, context long, first long, n int"), "anchors")
+    found = Table(rows.mapInArrow(lean(_anchor_rows(length)), f"id {kind}, row long, rank long, context long, first long, n int"), "anchors")
     again = Table(found.df.groupBy("rank").agg(F.count("*").alias("c")).filter("c > 1").select("rank"), "repeated-ranks")
     shared = Table(within(found.df, again.df, "rank", broadcast_keys), "shared-anchors").df
     found.drop()
@@ -266,12 +266,12 @@ def repeated_runs(rows: DataFrame, length: int = LENGTH, broadcast_keys: int = B
     met = texts.alias("t").join(by_row.alias("j"), (F.col("t.row") == F.col("j.row")) & F.col("t.id").eqNullSafe(F.col("j.id")))
     # Repeated rows hold the same jobs; one of them answers.
     met = met.select(F.col("t.row").alias("row"), F.col("t.id").alias("id"), "text", "jobs").dropDuplicates(["row", "id"])
-    pieces = Table(met.mapInArrow(_context_bytes(length), PIECE.format(kind=kind)), "contexts-bytes").df
+    pieces = Table(met.mapInArrow(lean(_context_bytes(length)), PIECE.format(kind=kind)), "contexts-bytes").df
     # Few contexts of a rank meet in one task; many are compared as window rows, which spread over all tasks.
     few = pieces.filter(F.col("kinds") <= meet).repartition("rank").sortWithinPartitions("rank")
-    few_runs = few.mapInArrow(_meet(length), f"id {kind}, row long, first long, n int")
+    few_runs = few.mapInArrow(lean(_meet(length)), f"id {kind}, row long, first long, n int")
     many = pieces.filter(F.col("kinds") > meet)
-    windows = Table(many.select("context", "data").mapInArrow(_window_rows(length), "left long, right long, context long, at int"), "window-ranks").df
+    windows = Table(many.select("context", "data").mapInArrow(lean(_window_rows(length)), "left long, right long, context long, at int"), "window-ranks").df
     twice = windows.groupBy("left", "right").agg(F.count("*").alias("c")).filter("c > 1").select("left", "right")
     hits = windows.join(twice, ["left", "right"], "left_semi").groupBy("context").agg(F.sort_array(F.collect_list("at")).alias("at"))
     # Adjacent starts become one run: number minus rank is constant within a run.
@@ -309,7 +309,7 @@ def substring_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str =
     joined = joined.select(F.col("t.id").alias("id"), "text", F.coalesce("runs", empty).alias("runs"))
     kind = df.schema[id_column].dataType.simpleString()
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", spans array<array<bigint>>, kept binary" if with_text else "")
-    return joined.mapInArrow(_cutter(length, with_text), schema).unionByName(clean.select("id", *whole, *extra))
+    return joined.mapInArrow(lean(_cutter(length, with_text)), schema).unionByName(clean.select("id", *whole, *extra))
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

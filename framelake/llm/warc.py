@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import BATCH_ROWS, Table, bounded_batches, scratch_path
+from framelake.llm.common import BATCH_ROWS, Table, bounded_batches, lean, scratch_path
 
 #: A new file begins beyond so many compressed bytes; a reading task holds one file.
 FILE_BYTES = 8_000_000
@@ -178,7 +178,7 @@ def write_warc(
     out = joined.select(F.col("id").cast("string").alias("id"), "url", "payload", F.when(revisit, F.col("ref")).cast("string").alias("ref"), F.when(revisit, F.col("ref_url")).alias("ref_url"))
     pyarrow_fs, path = pyarrow.fs.FileSystem.from_uri(folder)
     pyarrow_fs.create_dir(path, recursive=True)
-    return Table(out.mapInArrow(_writer(folder, segment_bytes, chunk_bytes), "file string, records long, bytes long"), "warc-files").df
+    return Table(out.mapInArrow(lean(_writer(folder, segment_bytes, chunk_bytes)), "file string, records long, bytes long"), "warc-files").df
 
 
 def members(content: memoryview) -> Iterator[bytes]:
@@ -280,11 +280,11 @@ def read_warc(spark: SparkSession, folder: str, files: DataFrame | None = None,
     if files is not None:
         archives = archives.withColumn("file", F.element_at(F.split("path", "/"), -1)).join(files.select("file"), "file", "left_semi")
     bounded_batches(spark, 1)  # a file at a time
-    parsed = Table(archives.select("content").mapInArrow(_reader(with_payload), RECORD), "warc-records").df
+    parsed = Table(archives.select("content").mapInArrow(lean(_reader(with_payload)), RECORD), "warc-records").df
     bounded_batches(spark, 16)
     segment = F.struct("segment", "total", "block", "type", "target_uri", "row_id", "payload_digest")
     grouped = parsed.filter("segment is not null").groupBy("origin").agg(F.collect_list(segment).alias("parts"))
-    whole = parsed.filter("segment is null").unionByName(grouped.mapInArrow(_assembler(with_payload), RECORD))
+    whole = parsed.filter("segment is null").unionByName(grouped.mapInArrow(lean(_assembler(with_payload)), RECORD))
     return whole.select("record_id", "type", "target_uri", "row_id", "refers_to", "payload_bytes", "payload_digest", "payload")
 
 
