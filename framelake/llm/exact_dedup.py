@@ -1,19 +1,23 @@
 """Exact dedup with an extendible-hash index kept in shared files; DataFrame functions only.
 
 1. Every row gives an index entry: id, 64-bit key of the normalised text and its
-   SHA-256. The entries are the index's data pages, Parquet in the shared folder.
+   SHA-256.
 2. The directory starts with one cell. As long as a bucket holds more distinct
    keys than ``bucket_keys``, the directory doubles and that bucket splits by the
    next leading bit of the key. Copies of one text are one key, so a group of
    copies of any size neither overfills a bucket nor makes it split.
-3. Owner tasks process ranges of keys (a bucket is a range, as it is a prefix of
-   the key). Keys met once are settled. For keys met more often the texts are
-   read again, and rows chain under their key by the bytes of the whole text:
-   grouping is on the text itself, summed up within tasks before the shuffle, so
-   copies collapse where they are read. A hash collision only makes a longer chain.
-
-Cost: two scans of the text, one shuffle of 48-byte entries' keys, and a shuffle
-of one text per copied text and task. Texts that occur once are never shuffled
+3. The index's files are ranges of keys, Parquet in the shared folder, each written
+   and owned by one task; a bucket, as a prefix of keys, lies in one file or in a few
+   adjacent ones. Ranges are cut by key and id, so the entries of a hot key spread
+   over several owners.
+4. Keys met once are settled. For keys met more often the texts are read again, and
+   rows chain under their key by the bytes of the whole text: grouping is on the
+   text itself, summed up within tasks before the shuffle, so copies collapse where
+   they are read. A hash collision only makes a longer chain. Owners then look up the
+   chains of their entries.
+
+Cost: two scans of the text, two shuffles of entries (some 60 bytes each), and a
+shuffle of one text per copied text and task. Texts that occur once are never shuffled
 if the copied keys fit ``broadcast_keys``; beyond that the second scan is a
 shuffled semi join.
 """
@@ -85,10 +89,14 @@ def exact_dedup(
     norm = normalised(text_of(text_column))
     rows = df.select(F.col(id_column).alias("id"), norm.alias("norm"), F.xxhash64(text_of(text_column)).alias("row"))
     entry = rows.select("id", "row", F.xxhash64("norm").alias("key"), F.unhex(F.sha2("norm", 256)).alias("sha"))
-    pages = Table(entry, "hash-index").df
+    entries = Table(entry, "hash-entries")
+    pages = entries.df
     # A row for each distinct key; summed up within tasks first, so a hot key is a few rows.
     keys = Table(pages.groupBy("key").agg(F.count("*").alias("n")), "hash-keys").df
     cells = directory(keys, bucket_keys)
+    placed = pages.join(F.broadcast(cells.select("cell", "bucket")), cell(F.col("key")) == F.col("cell"), "left").drop("cell")
+    index = Table(placed.repartitionByRange("key", "id").sortWithinPartitions("key", "id"), "hash-index").df
+    entries.drop()
     copied = keys.filter("n > 1").select("key", "n")
     few = copied.count() <= broadcast_keys
     wanted = copied.select("key")
@@ -106,11 +114,10 @@ def exact_dedup(
     # The chains are a row per copied text; few are broadcast, so a hot key needs no shuffle. Many are
     # dealt out with a salt, so the entries of a hot key meet their one chain row in several tasks.
     if few:
-        joined = pages.join(F.broadcast(chains), ["key", "sha"], "left")
+        joined = index.join(F.broadcast(chains), ["key", "sha"], "left")
     else:
         salted = chains.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-        joined = pages.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int")).join(salted, ["key", "sha", "salt"], "left")
-    joined = joined.join(F.broadcast(cells.select("cell", "bucket")), cell(F.col("key")) == F.col("cell"), "left")
+        joined = index.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int")).join(salted, ["key", "sha", "salt"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return joined.select(
         "id",
