@@ -21,7 +21,7 @@ def below_percentile(df: DataFrame, column: str, percent: float) -> Column:
 
 def pre_qc(
     df: DataFrame, luma_min: float = 20, luma_max: float = 240, fog_max: float = 0.01, sun_max: float = 0.01,
-    reflection_max: float = 0.01, mountain_percentile: float | None = None,
+    reflection_max: float = 0.01, mountain_percentile: float | None = None, aoi_cloud_max: float = 0.2,
 ) -> DataFrame:
     """Flags frames by brightness and area shares; columns that the table lacks aren't checked."""
     has = set(df.columns)
@@ -31,6 +31,8 @@ def pre_qc(
     for name, most in (("fog", fog_max), ("sun", sun_max), ("reflection", reflection_max)):
         if f"{name}_ratio" in has:
             checks.append((f"HIGH_{name.upper()}", F.col(f"{name}_ratio") > most))
+    if "aoi_cloud_ratio" in has:
+        checks.append(("AOI_OBSCURED", F.col("aoi_cloud_ratio") > aoi_cloud_max))
     if mountain_percentile is not None and "mountain_ratio" in has:
         checks.append(("LOW_MOUNTAIN", below_percentile(df, "mountain_ratio", mountain_percentile)))
     return flag(df, checks)

@@ -166,13 +166,16 @@ class _Pairs:
 
 def align(
     df: DataFrame, frames: DataFrame, target: str, method: str = "harris", max_rounds: int = 5, min_ransac_inliers: int = 20, max_rmse: float = 5,
-    estimate_distortion: str = "off", grid_size: int = 100, ransac_thresh: float = 10,
+    estimate_distortion: str = "off", grid_size: int = 100, ransac_thresh: float = 10, target_ridge: np.ndarray | None = None, ridges_of: dict[str, np.ndarray] | None = None,
 ) -> tuple[DataFrame, dict, DataFrame]:
     """Registers each camera position (segment_id) to the target's: df with align columns, parameters by segment, aligned frames.
 
     Up to three anchors of a segment are tried in order of their score. In later
     rounds a segment is matched with the aligned anchor of the closest blue
-    share. ``estimate_distortion``: off or global.
+    share. A match must also bring the segment's ridge onto the target's if
+    ``target_ridge`` and the ``ridges_of`` anchors (path -> ridge) are given.
+    ``estimate_distortion``: off, global (one lens for all, from the first
+    round's matches) or per_segment.
     """
     if estimate_distortion not in ("off", "global", "per_segment"):
         raise ValueError(f"unknown distortion mode {estimate_distortion}")
@@ -211,17 +214,17 @@ def align(
         joined = a.join(F.broadcast(table), "path").join(b, "reference")
 
         def attempt(t: pa.Table) -> pa.Table:
-            return _attempt(t, method, width, height, grid_size, ransac_thresh, min_ransac_inliers, max_rmse, lens)
+            return _attempt(t, method, width, height, grid_size, ransac_thresh, min_ransac_inliers, max_rmse, lens, estimate_distortion == "per_segment", target_ridge, ridges_of or {})
 
-        got = joined.groupBy("segment_id").applyInArrow(attempt, "segment_id int, status string, h string, rmse double, n int, anchor string, points string").collect()
-        if number == 1 and estimate_distortion != "off" and lens is None:
+        got = joined.groupBy("segment_id").applyInArrow(attempt, "segment_id int, status string, h string, rmse double, n int, anchor string, points string, lens string").collect()
+        if number == 1 and estimate_distortion == "global" and lens is None:
             pairs = [tuple(np.array(p) for p in json.loads(r["points"])) for r in got]
             lens = registration.estimate_distortion([p for p in pairs if len(p[0])], width, height)
             if lens is not None:
                 continue
         new = 0
         for r in got:
-            entry = {"status": r["status"], "H": json.loads(r["h"]) if r["h"] else None, "rmse": r["rmse"], "num_matches": r["n"], "anchor": r["anchor"], "round": number, "distortion_params": None if lens is None else lens.tolist()}
+            entry = {"status": r["status"], "H": json.loads(r["h"]) if r["h"] else None, "rmse": r["rmse"], "num_matches": r["n"], "anchor": r["anchor"], "round": number, "distortion_params": json.loads(r["lens"])}
             if r["status"] == "success":
                 done[r["segment_id"]] = entry
                 pending.discard(r["segment_id"])
@@ -239,26 +242,32 @@ def align(
     return out, params, warp_frames(out, frames, params, width, height)
 
 
-def _attempt(t: pa.Table, method: str, width: int, height: int, grid: int, near: float, least: int, most: float, lens) -> pa.Table:
+def _attempt(t: pa.Table, method: str, width: int, height: int, grid: int, near: float, least: int, most: float, lens, own_lens: bool, target_ridge, ridges_of: dict) -> pa.Table:
     """Tries a segment's anchors in order; the first good homography wins, else the failure with most inliers is told."""
-    best = {"segment_id": t.column("segment_id")[0].as_py(), "status": "failed", "h": None, "rmse": None, "n": -1, "anchor": "", "points": "[[], []]"}
+    best = {"segment_id": t.column("segment_id")[0].as_py(), "status": "failed", "h": None, "rmse": None, "n": -1, "anchor": "", "points": "[[], []]", "lens": "null"}
     for r in sorted(t.to_pylist(), key=lambda r: r["anchor_rank"]):
         if r["data"] is None or r["r_data"] is None:
             continue
         reference = registration.warp(images.array(r["r_height"], r["r_width"], r["r_data"]), np.array(json.loads(r["h"])), width, height)
         a, b = registration.match_images(images.array(r["height"], r["width"], r["data"]), reference, method)
         a, b = registration.thin(a, b, grid)
+        model = lens
         points = registration.distort(a, lens, r["width"], r["height"]) if lens is not None and len(a) else a
         h, ok = registration.estimate_homography(points, b, near, seed=r["path"])
+        if own_lens and h is not None and (model := registration.estimate_distortion([(a[ok], b[ok])], r["width"], r["height"])) is not None:
+            points = registration.distort(a, model, r["width"], r["height"])
+            h, ok = registration.estimate_homography(points, b, near, seed=r["path"])
         n = int(ok.sum())
         error = registration.rmse(h, points[ok], b[ok]) if h is not None and n else None
         good = h is not None and n >= least and error is not None and error <= most
+        if good and target_ridge is not None and r["path"] in ridges_of:
+            good = ridges.match_ridges(target_ridge, registration.warp_line(ridges_of[r["path"]], h, width, height), seed=r["path"])["success"]
         if good or n > best["n"]:
-            best |= {"status": "success" if good else "failed", "h": json.dumps(h.tolist()) if h is not None else None, "rmse": error, "n": n, "anchor": r["path"], "points": json.dumps([a[ok].tolist(), b[ok].tolist()])}
+            best |= {"status": "success" if good else "failed", "h": json.dumps(h.tolist()) if h is not None else None, "rmse": error, "n": n, "anchor": r["path"], "points": json.dumps([a[ok].tolist(), b[ok].tolist()]), "lens": json.dumps(None if model is None else model.tolist())}
         if good:
             break
     best["n"] = max(best["n"], 0)
-    return pa.Table.from_pylist([best], pa.schema([("segment_id", pa.int32()), ("status", pa.string()), ("h", pa.string()), ("rmse", pa.float64()), ("n", pa.int32()), ("anchor", pa.string()), ("points", pa.string())]))
+    return pa.Table.from_pylist([best], pa.schema([("segment_id", pa.int32()), ("status", pa.string()), ("h", pa.string()), ("rmse", pa.float64()), ("n", pa.int32()), ("anchor", pa.string()), ("points", pa.string()), ("lens", pa.string())]))
 
 
 def warp_frames(aligned: DataFrame, frames: DataFrame, params: dict, width: int, height: int) -> DataFrame:

@@ -158,6 +158,13 @@ def test_align_registers_both_positions(spark, season):
     assert np.abs(by[max(by)][inner] - by[target][inner]).mean() < 12
     with pytest.raises(ValueError):
         stages.align(qc, frames, target, method="none")
+    for mode in ("global", "per_segment"):
+        assert {r["align_status"] for r in stages.align(qc, frames, target, grid_size=20, estimate_distortion=mode)[0].collect()} == {"success"}
+    line = ridges.top_line(~scene()[1])
+    anchors = {r["path"]: ridges.top_line(~scene(9, 7, 0.3)[1]) for r in profile.collect()}
+    assert stages.align(qc, frames, target, grid_size=20, target_ridge=line, ridges_of=anchors)[1][1]["status"] == "success"
+    wrong = {k: np.clip(v + 60, 0, 199) for k, v in anchors.items()}
+    assert stages.align(qc, frames, target, grid_size=20, target_ridge=np.full(320, 10), ridges_of=wrong)[1][1]["status"] == "failed"
 
 
 def test_snow_and_melt(spark):
