@@ -85,6 +85,20 @@ class Table:
         drop_path(self.spark, self.path)
 
 
+#: Rows of a small table that is broadcast at most (tens of MB).
+BROADCAST_ROWS = 500_000
+
+
+def sized(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A small side of a join, written and counted: broadcast if it is small indeed.
+
+    Beyond that it is read from its files, so that the join's sides are plain
+    shuffles, of which adaptive execution can split the skewed partitions.
+    """
+    written = Table(df, name).df
+    return F.broadcast(written) if written.count() <= rows else written
+
+
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Limit the Arrow batches that Python workers get, as texts can be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

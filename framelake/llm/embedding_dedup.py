@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import Table, components, local_roots
+from framelake.llm.common import Table, components, local_roots, sized
 
 THRESHOLD = 0.93
 #: Vectors of a tile.
@@ -180,7 +180,7 @@ def embedding_near_dedup(
     distinct = Table(distinct, "distinct-vectors").df
     axes = principal_axes(distinct)
     count = distinct.groupBy("label", "dim").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    tiled = distinct.join(count, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    tiled = distinct.join(sized(count, "label-tiles"), ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.withColumn("lower", F.least("own", "other")).withColumn("upper", F.greatest("own", "other"))
     pairs = tiled.select("label", "dim", "lower", "upper", "own", "node", "copies", "vector")
@@ -191,7 +191,7 @@ def embedding_near_dedup(
     rooted = distinct.join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = Table(rooted.select("label", "vector", "root", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "rooted-vectors").df
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = rooted.join(least, "root").select("label", "vector", "n_links", "component")
+    named = Table(rooted.join(sized(least, "component-ids"), "root").select("label", "vector", "n_links", "component"), "named-vectors").df
     out = rows.join(named, ["label", "vector"], "left")
     component = F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component"))
     return out.select(

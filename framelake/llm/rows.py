@@ -9,15 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import text_of
+from framelake.llm.common import sized, text_of
 from framelake.llm.suffix_dedup import BROADCAST_KEYS, within
 
 
 def losers(decided: DataFrame, *group: str) -> DataFrame:
     """``id, row`` of the documents that aren't the first of their group: by id, nulls last, then by row."""
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    best = decided.groupBy(*group).agg(F.min(order).alias("best"), F.count("*").alias("n")).filter("n > 1")
-    return decided.join(best, [*group]).filter("NOT (id <=> best.id) OR row <> best.row").select("id", "row")
+    best = decided.groupBy(*group).agg(F.min(order).alias("best"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return decided.join(sized(best, "group-firsts"), [*group]).filter("NOT (id <=> best.id) OR row <> best.row").select("id", "row")
 
 
 def repeated(decided: DataFrame) -> DataFrame:

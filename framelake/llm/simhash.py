@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import EDGE, Table, batch, bounded_batches, components, documents, lean, local_roots, mix64, raw, text_of
+from framelake.llm.common import EDGE, Table, batch, bounded_batches, components, documents, lean, local_roots, mix64, raw, sized, text_of
 
 #: Reference fingerprints of the pivot table.
 PIVOTS = 16
@@ -261,7 +261,7 @@ def simhash_groups(
     rooted = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = Table(rooted, "rooted-prints").df
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select(*names, "component_id", "root")
+    named = sized(rooted.join(sized(least, "component-ids"), "root").select(*names, "component_id", "root"), "named-prints")
     return prints.join(named, names, "left").select("id", "row", *names, "component_id", "root")
 
 
