@@ -152,13 +152,18 @@ def held_out(key: Column) -> Column:
 
 
 def sample(df: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> tuple[list[bytes], list[int]]:
-    """Whole texts and labels of the rows with the smallest id hash, within both bounds."""
+    """Whole texts and labels of the rows with the smallest id hash, within both bounds; very long texts only where room is left."""
     rows = labels.filter(F.col(label_column).isNotNull() & F.col(id_column).isNotNull() & ~held_out(F.col(id_column)))
     chosen = rows.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label"), F.xxhash64(id_column).alias("h")).orderBy("h", "label").limit(max_rows)
     texts = df.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     met = texts.join(F.broadcast(chosen), "id").select("h", "id", "label", F.coalesce("text", F.lit("")).alias("text")).orderBy("h", "id", "text").limit(max_rows)
-    running = F.sum(F.octet_length("text")).over(W.orderBy("h", "id", "text").rowsBetween(W.unboundedPreceding, 0))
+    size = F.octet_length("text")
+    # Texts of over a hundredth of the bound come last, from short to long: what follows one that doesn't fit doesn't fit either.
+    order = W.orderBy(F.when(size > max_bytes // 100, size).otherwise(0), "h", "id", "text")
+    running = F.sum(size).over(order.rowsBetween(W.unboundedPreceding, 0))
     got = met.withColumn("bytes", running).filter(F.col("bytes") <= max_bytes).select("text", "label").toArrow()
+    if not got.num_rows and met.limit(1).count():
+        raise ValueError(f"no labelled text fits into a sample of {max_bytes} bytes")
     return raw(got.column("text").combine_chunks()), got.column("label").to_pylist()
 
 

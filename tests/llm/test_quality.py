@@ -60,3 +60,15 @@ def test_without_labels_and_rows(none, odd, spark):
     assert {r["score"] for r in quality.quality_classifier(odd, empty).collect()} == {0.5}
     nulls = spark.createDataFrame([(None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in quality.quality_classifier(odd, nulls).collect()} == {0.5}
+
+
+def test_long_texts_dont_crowd_out_the_sample(spark):
+    # The first texts by hash of their id are too long or nearly so.
+    ids = [r["id"] for r in spark.range(100).filter(~quality.held_out(quality.F.col("id"))).selectExpr("id", "xxhash64(id) AS h").orderBy("h").collect()]
+    long = {ids[0]: 20_000, ids[1]: 9_000, ids[3]: 600}
+    df = docs(spark, [(i, "x" * long.get(i, 50)) for i in ids])
+    marks = spark.createDataFrame([(i, i % 2, 0) for i in ids], "doc_id long, quality int, toxic int")
+    texts, _ = quality.sample(df, marks, "doc_id", "text", "quality", max_bytes=10_000)
+    assert sorted(map(len, texts)) == [50] * (len(ids) - 3) + [600]
+    with pytest.raises(ValueError, match="no labelled text fits"):
+        quality.sample(df, marks, "doc_id", "text", "quality", max_bytes=40)
