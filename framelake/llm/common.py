@@ -99,6 +99,24 @@ def sized(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(written) if written.count() <= rows else written
 
 
+#: A key is hot if it has more than one in so many rows; so there are no more hot keys than this.
+HOT_SHARE = 2000
+
+
+def hot_join(df: DataFrame, keys: DataFrame, on: list[str], count: str) -> DataFrame:
+    """df joined with a table of distinct keys that says how many of df's rows each has.
+
+    Hot keys are at most HOT_SHARE by their definition, so they are broadcast, and
+    their rows stay where they are; the rest is a shuffled join without a key
+    that many rows share. The count column is left out.
+    """
+    total = keys.agg(F.sum(count)).first()[0] or 0
+    hot = keys.filter(F.col(count) > max(1000, total // HOT_SHARE)).drop(count)
+    cold = keys.filter(F.col(count) <= max(1000, total // HOT_SHARE)).drop(count)
+    few = F.broadcast(Table(hot, "hot-keys").df)
+    return df.join(few, on).unionByName(df.join(few.select(*on), on, "left_anti").join(cold, on))
+
+
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Limit the Arrow batches that Python workers get, as texts can be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
