@@ -35,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import Table, bounded_batches, documents, lean, mix64, raw, text_of
+from framelake.llm.common import Table, bounded_batches, documents, hot_join, lean, mix64, raw, text_of
 
 LENGTH = 400
 #: Window starts of a text that are ranked at once; long texts come in blocks.
 BLOCK = 1 << 18
 #: Up to so many 8-byte keys are broadcast as a filter; beyond that the filter is a shuffled join.
-BROADCAST_KEYS = 2_000_000
+BROADCAST_KEYS = 500_000
 
 #: Distinct contexts of one anchor rank that meet in one task: some 600 bytes each, so 2.5 MB.
 MEET = 4096
@@ -258,7 +258,8 @@ def repeated_runs(rows: DataFrame, length: int = LENGTH, broadcast_keys: int = B
     place = F.struct("row", "id", "first", "n")
     contexts = Table(shared.groupBy("rank", "context").agg(F.count("*").alias("copies"), F.min(place).alias("place")), "contexts").df
     mixed = contexts.groupBy("rank").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).filter("kinds > 1 and least = 1").select("rank", "kinds")
-    settled = shared.join(contexts.filter("copies > 1").select("rank", "context"), ["rank", "context"], "left_semi").select("id", "row", "first", "n")
+    # A passage that many texts share is one context, so its anchors must not meet in one task.
+    settled = hot_join(shared, contexts.filter("copies > 1").select("rank", "context", "copies"), ["rank", "context"], "copies").select("id", "row", "first", "n")
     asked = contexts.join(mixed, "rank").select("rank", F.xxhash64("rank", "context").alias("context"), "place.*", (F.col("copies") == 1).alias("single"), "kinds")
     jobs = Table(asked, "context-jobs").df
     by_row = jobs.groupBy("row", "id").agg(F.collect_list(F.struct("rank", "context", "first", "n", "single", "kinds")).alias("jobs"))
