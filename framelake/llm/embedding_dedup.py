@@ -175,7 +175,7 @@ def embedding_near_dedup(
         .groupBy("label", "vector")
         .agg(F.min("id").alias("least"), F.count("*").alias("copies"))
         .withColumn("dim", F.size("vector"))
-        .withColumn("node", F.coalesce("least", F.xxhash64("label", "vector")).cast("long"))
+        .withColumn("node", F.xxhash64("label", "vector"))
     )
     distinct = Table(distinct, "distinct-vectors").df
     axes = principal_axes(distinct)
