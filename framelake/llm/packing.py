@@ -5,14 +5,20 @@
    first of them taking the remainder.
 2. Each partition packs its pieces by best fit, longest first: a piece goes to
    the open bin whose free room is smallest but sufficient.
-3. Bins that are nearly full are final. Underfull bins become items themselves:
-   ``FAN_IN`` partitions' bins meet in one task and are packed by best fit again,
-   up the tree to its root. A bin never opens, so an item's place is its offset in
-   the bin plus the bin's offset in its parent.
+3. Bins that are nearly full are final. Underfull bins become items themselves: those
+   of ``FAN_IN`` nodes meet in one node of the next level and are packed by best fit
+   again, up the tree to its root; the partitions are the leaves. A bin never
+   opens, so an item's place is its offset in the bin plus the bin's offset in its
+   parent.
+
+What goes up is bounded however many bins are underfull: best fit leaves one bin at
+most that is half empty or more, as anything in a second one would have fitted into
+the first. Two bins of over half can't share a sequence, so in a node of FAN_IN
+children at most FAN_IN of them find a partner; a child passes up its half-empty bin
+and the FAN_IN others with most room, and the rest of its bins are final.
 
 Each level is written before the next reads it, so a task that is run again can't
-disagree with the placements that others have already used. The number of bins
-still open shrinks at every level, as nearly full ones leave.
+disagree with the placements that others have already used.
 """
 
 from __future__ import annotations
@@ -38,7 +44,7 @@ CAPACITY = 2048
 END_ID = 0
 #: Bins with at least this share of their room used are final below the root.
 NEARLY_FULL = 0.998
-#: Partitions whose underfull bins meet in one task of the next level.
+#: Nodes whose underfull bins meet in one node of the next level.
 FAN_IN = 8
 
 #: Fixed value: the word pattern of byte-level BPE vocabularies.
@@ -148,18 +154,35 @@ def pieces(df: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
     return df.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(lean(run), f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def _pack(capacity: int, level: int, length_at: int):
-    """Packs a partition's items; adds the bin, named by level, partition and number, and the offset in it."""
+def _packed(t: pa.Table, lengths: list[int], capacity: int, nearly_full: float, fan_in: int, base: int) -> pa.Table:
+    """Adds each item's bin (base plus its number), its offset there, the bin's length, and whether the bin goes up."""
+    bins, offsets = best_fit(lengths, capacity)
+    full = np.bincount(bins, weights=lengths).astype(np.int64)
+    up = full < int(nearly_full * capacity)
+    up[np.flatnonzero(up & (2 * full > capacity))] = False
+    over = np.flatnonzero((full < int(nearly_full * capacity)) & (2 * full > capacity))
+    up[over[np.argsort(full[over], kind="stable")[:fan_in]]] = True
+    own = np.array(bins, np.int64)
+    for name, column in (("bin", own + base), ("at", np.array(offsets, np.int64)), ("filled", full[own]), ("up", up[own])):
+        t = t.append_column(name, pa.array(column))
+    return t
 
+
+def _leaf(capacity: int, nearly_full: float, fan_in: int, length_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        bins, offsets = best_fit(t.column(length_at).to_pylist(), capacity)
-        base = (level << 58) | (TaskContext.get().partitionId() << 34)
-        t = t.append_column("bin", pa.array(np.array(bins, np.int64) + base)).append_column("at", pa.array(offsets, pa.int64()))
-        yield from t.to_batches()
+        if held:
+            t = pa.Table.from_batches(held)
+            yield from _packed(t, t.column(length_at).to_pylist(), capacity, nearly_full, fan_in, TaskContext.get().partitionId() << 34).to_batches()
+
+    return run
+
+
+def _node(capacity: int, nearly_full: float, fan_in: int, level: int):
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("item", "ascending")])
+        base = level << 58 | t.column("node")[0].as_py() << 34
+        return _packed(t.select(["item", "length"]), t.column("length").to_pylist(), capacity, nearly_full, fan_in, base)
 
     return run
 
@@ -172,17 +195,20 @@ def pack(items: DataFrame, capacity: int = CAPACITY, nearly_full: float = NEARLY
     """
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema)
     names = items.columns
-    local = Table(items.mapInArrow(lean(_pack(capacity, 0, names.index("length"))), f"{fields}, bin long, at long"), "packed-0").df
-    n = max(1, local.rdd.getNumPartitions())
-    size = local.groupBy("bin").agg(F.sum("length").alias("length"))
+    added = "bin long, at long, filled long, up boolean"
+    level = Table(items.mapInArrow(lean(_leaf(capacity, nearly_full, fan_in, names.index("length"))), f"{fields}, {added}"), "packed-0").df
+    local = level
+    partition = F.shiftright("bin", 34).bitwiseAND((1 << 24) - 1)
+    n = (local.agg(F.max(partition)).first()[0] or 0) + 1
     maps: list[DataFrame] = []
-    level = 0
-    while n > 1 or not maps:
-        level, n = level + 1, max(1, n // fan_in)
-        open_bins = size.filter(F.col("length") < int(nearly_full * capacity)).select(F.col("bin").alias("item"), "length")
-        packed = open_bins.repartition(n, "item").mapInArrow(lean(_pack(capacity, level, 1)), "item long, length long, bin long, at long")
-        maps.append(Table(packed, f"packed-{level}").df)
-        size = maps[-1].groupBy("bin").agg(F.sum("length").alias("length"))
+    while n > 1:
+        n = -(-n // fan_in)
+        rising = level.filter("up").select("bin", F.col("filled").alias("length"), F.floor(partition / fan_in).cast("long").alias("node")).distinct()
+        packed = rising.withColumnRenamed("bin", "item").groupBy("node").applyInArrow(_node(capacity, nearly_full, fan_in, len(maps) + 1), f"item long, length long, {added}")
+        level = Table(packed, f"packed-{len(maps) + 1}").df
+        maps.append(level)
+    if not maps:
+        return local.select(*names, F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
     # From the root down: where each bin of a level ends up.
     placed = maps[-1].select("item", F.col("bin").alias("root"), F.col("at").alias("shift"))
     for below in reversed(maps[:-1]):

@@ -5,7 +5,9 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from framelake.llm import packing
 from framelake.llm.packing import Encoder, best_fit, best_fit_packing, cut
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -73,5 +75,34 @@ def test_tree_over_many_partitions(spark, library):
     assert bins <= 1.02 * total / 2048 + 1
 
 
+@pytest.mark.parametrize("sizes", [(1, 2048), (1100, 1100), (300, 900)])
+def test_tree_of_three_levels(spark, monkeypatch, sizes):
+    """Eighty leaves under nodes of four: 80, 20, 5, 2, 1; what meets in a node is bounded."""
+    rng = random.Random(3)
+    rows = [(n, rng.randint(*sizes)) for n in range(8000)]
+    seen = []
+    table = packing.Table
+
+    def kept(df, name):
+        out = table(df, name)
+        seen.append((name, out.df))
+        return out
+
+    monkeypatch.setattr(packing, "Table", kept)
+    out = packing.pack(spark.createDataFrame(rows, "n long, length long").repartition(80), fan_in=4).collect()
+    assert [n for n, _ in seen] == [f"packed-{i}" for i in range(5)]
+    assert all(max((r["count"] for r in t.groupBy(F.shiftright("bin", 34)).count().collect()), default=0) <= 4 * 5 for _, t in seen[1:])
+    places = defaultdict(list)
+    for r in out:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sorted((r["n"], r["length"]) for r in out) == rows
+    for own in places.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))] and sum(n for _, n in own) <= 2048
+    # As good as best fit over all leaves' bins at once, to a thousandth.
+    leaves = [r["filled"] for r in seen[0][1].select("bin", "filled").distinct().collect()]
+    assert len(places) <= 1.001 * len(set(best_fit(leaves, 2048)[0])) + 1
+
+
 def test_empty_table(none):
     assert best_fit_packing(none, PATH).count() == 0
