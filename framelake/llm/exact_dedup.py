@@ -6,20 +6,19 @@
    keys than ``bucket_keys``, the directory doubles and that bucket splits by the
    next leading bit of the key. Copies of one text are one key, so a group of
    copies of any size neither overfills a bucket nor makes it split.
-3. The index's files are ranges of keys, Parquet in the shared folder, each written
-   and owned by one task; a bucket, as a prefix of keys, lies in one file or in a few
-   adjacent ones. Ranges are cut by key and id, so the entries of a hot key spread
-   over several owners.
-4. Keys met once are settled. For keys met more often the texts are read again, and
-   rows chain under their key by the bytes of the whole text: grouping is on the
-   text itself, summed up within tasks before the shuffle, so copies collapse where
-   they are read. A hash collision only makes a longer chain. Owners then look up the
-   chains of their entries.
+3. The directory places every entry in its bucket. The index's files, Parquet in the
+   shared folder, are ranges of buckets and keys, each written and owned by one task;
+   ranges are cut by id as well, so the entries of a hot key spread over several owners.
+4. Keys met once are settled. For keys met more often the texts are read again, find
+   their bucket by the directory, and chain under their key there by the bytes of the
+   whole text: grouping is on the text itself, summed up within tasks before the
+   shuffle, so copies collapse where they are read. A hash collision only makes a longer
+   chain. Owners then look up the chains of their entries in the bucket.
 
 Cost: two scans of the text, two shuffles of entries (some 60 bytes each), and a
 shuffle of one text per copied text and task. Texts that occur once are never shuffled
 if the copied keys fit ``broadcast_keys``; beyond that the second scan is a
-shuffled semi join.
+shuffled join, for which the few hot keys are broadcast.
 """
 
 from __future__ import annotations
@@ -27,13 +26,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import Table, documents, text_of
+from framelake.llm.common import Table, documents, hot_join, text_of
 
 #: Fixed value: the white space that is folded to one space.
 SPACES = r"[\x20\x09-\x0D]+"
 #: Distinct keys that a bucket may hold before it splits.
 BUCKET_KEYS = 100_000
-#: The directory never has more than two to this power cells, which bounds what is broadcast.
+#: The directory never has more than two to this power cells, which bounds what is broadcast; buckets hold more where that would not do.
 MAX_DEPTH = 14
 #: Up to so many 8-byte keys are broadcast (8 MB); more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
@@ -49,7 +48,7 @@ def cell(key: Column) -> Column:
 
 
 def directory(keys: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
-    """``cell, depth, bucket``: the bucket of each of the finest cells.
+    """``cell, depth, bucket``: the bucket of each of the finest cells, by the first of its cells.
 
     Doubling is read off the key counts per cell: a bucket of depth d is kept
     when it isn't overfull, or can't split further, and its parent was overfull.
@@ -65,7 +64,7 @@ def directory(keys: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     split = nodes.filter(full).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"))
     leaves = nodes.filter(~full).withColumn("parent", F.shiftright("prefix", 1))
     leaves = leaves.filter("depth = 0").select("depth", "prefix").unionByName(leaves.join(split, ["depth", "parent"], "left_semi").select("depth", "prefix"))
-    bucket = F.concat_ws("/", "depth", "prefix").alias("bucket")
+    bucket = F.expr(f"shiftleft(prefix, {MAX_DEPTH} - depth)").alias("bucket")
     cells = fine.select("cell", F.explode(F.sequence(F.lit(0), F.lit(MAX_DEPTH))).alias("depth")).withColumn("prefix", F.expr(f"shiftright(cell, {MAX_DEPTH} - depth)"))
     return cells.join(leaves, ["depth", "prefix"]).select("cell", "depth", bucket)
 
@@ -93,18 +92,19 @@ def exact_dedup(
     pages = entries.df
     # A row for each distinct key; summed up within tasks first, so a hot key is a few rows.
     keys = Table(pages.groupBy("key").agg(F.count("*").alias("n")), "hash-keys").df
-    cells = directory(keys, bucket_keys)
-    placed = pages.join(F.broadcast(cells.select("cell", "bucket")), cell(F.col("key")) == F.col("cell"), "left").drop("cell")
-    index = Table(placed.repartitionByRange("key", "id").sortWithinPartitions("key", "id"), "hash-index").df
+    # Keys are spread evenly, so buckets of two cells' mean load always split far enough.
+    cells = Table(directory(keys, max(bucket_keys, keys.count() >> (MAX_DEPTH - 1))).select("cell", "bucket"), "hash-directory").df
+    in_bucket = lambda df: df.join(F.broadcast(cells), cell(F.col("key")) == F.col("cell")).drop("cell")
+    index = Table(in_bucket(pages).repartitionByRange("bucket", "key", "id").sortWithinPartitions("bucket", "key", "id"), "hash-index").df
     entries.drop()
-    copied = keys.filter("n > 1").select("key", "n")
+    copied = in_bucket(keys.filter("n > 1"))
     few = copied.count() <= broadcast_keys
-    wanted = copied.select("key")
-    again = rows.withColumn("key", F.xxhash64("norm")).join(F.broadcast(wanted) if few else wanted, "key", "left_semi")
-    chained = again.groupBy("key", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
+    again = rows.withColumn("key", F.xxhash64("norm"))
+    again = again.join(F.broadcast(copied.drop("n")), "key") if few else hot_join(again, copied, ["key"], "n")
+    chained = again.groupBy("bucket", "key", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
     chains = (
         chained.withColumn("sha", F.unhex(F.sha2("norm", 256)))
-        .groupBy("key", "sha")
+        .groupBy("bucket", "key", "sha")
         .agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count("*").alias("texts"))
         # Two texts under one key and one SHA-256 can't be told apart by the entries; stop instead of merging them.
         .withColumn("keep_id", F.when(F.col("texts") == 1, F.col("keep_id")).otherwise(F.raise_error(F.lit("two texts share their key and SHA-256")).cast(chained.schema["keep_id"].dataType)))
@@ -114,10 +114,10 @@ def exact_dedup(
     # The chains are a row per copied text; few are broadcast, so a hot key needs no shuffle. Many are
     # dealt out with a salt, so the entries of a hot key meet their one chain row in several tasks.
     if few:
-        joined = index.join(F.broadcast(chains), ["key", "sha"], "left")
+        joined = index.join(F.broadcast(chains), ["bucket", "key", "sha"], "left")
     else:
         salted = chains.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-        joined = index.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int")).join(salted, ["key", "sha", "salt"], "left")
+        joined = index.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int")).join(salted, ["bucket", "key", "sha", "salt"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return joined.select(
         "id",

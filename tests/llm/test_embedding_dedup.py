@@ -63,3 +63,8 @@ def test_odd_vectors(spark):
 
 def test_empty_table(spark):
     assert embedding_near_dedup(frame(spark, [])).count() == 0
+
+
+def test_rows_that_share_an_id_but_not_the_vector(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [0.01, 1.0], 0)]
+    check(frame(spark, rows), rows)

@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import Counter
 
+from framelake.llm import exact_dedup
 from framelake.llm.exact_dedup import directory, exact_dedup, normalised
 from framelake.llm.rows import drop_documents, losers, repeated
 from pyspark.sql import functions as F
@@ -63,3 +64,12 @@ def test_dropping_keeps_one_row_of_each_text(odd, odd_rows):
     left = drop_documents(odd, losers(decided, "text_sha256"), repeated(decided)).collect()
     assert len(left) == len({norm(t) for _, t in odd_rows}) == len({norm(r["text"]) for r in left})
     assert left[0].asDict().keys() == {"doc_id", "text", "id", "row", "key", "fp", "score", "n"}
+
+
+def test_the_directory_places_what_is_found(odd, monkeypatch):
+    """Entries and chains meet in the buckets that the directory names: without a cell, its rows are lost."""
+    whole = exact_dedup.exact_dedup(odd, bucket_keys=3).select("id", "bucket").collect()
+    assert len({r["bucket"] for r in whole}) > 3
+    made = exact_dedup.directory
+    monkeypatch.setattr(exact_dedup, "directory", lambda *a: made(*a).filter(f"bucket <> {whole[0]['bucket']}"))
+    assert len(exact_dedup.exact_dedup(odd, bucket_keys=3).collect()) == sum(r["bucket"] != whole[0]["bucket"] for r in whole) < len(whole)
