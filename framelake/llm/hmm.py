@@ -15,9 +15,11 @@ many words there are.
 
 Training counts come from all training texts: in each round every partition sums up
 the expected counts of its texts, Spark adds these up, and the parameters are set
-from the sums. For the counts, texts are taken in runs of ``RUN`` words, so that runs
-of all texts move in step; scoring is the exact scaled forward recursion over each
-whole text (for very long ones as a product of the same matrices).
+from the sums. Counts are those of whole texts: short texts move in step, and longer
+ones do so in runs of ``RUN`` words, for which the products of the runs' matrices give
+the exact forward and backward vectors at every border first. Scoring is the exact
+scaled forward recursion over each whole text (for very long ones as a product of the
+same matrices).
 
 Word counts reach the texts in two ways. The ``NEAR`` most frequent words, a bounded
 number, go to all tasks and settle most of the words where the text is read. The
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 
 from framelake.llm.common import Table, bounded_batches, documents, lean, raw
 
-STATES, ROUNDS, RUN = 6, 3, 64
+STATES, ROUNDS, RUN = 6, 3, 512
 #: Most frequent words whose counts go to all tasks.
 NEAR = 200_000
 #: Classes: end, most frequent words, hashed others.
@@ -183,53 +185,87 @@ class Model:
         self.emit = emit / np.maximum(emit.sum(axis=1, keepdims=True), 1e-300)
 
 
-def expected(model: Model, texts: list[np.ndarray]) -> np.ndarray:
-    """Expected counts (starts, moves, emissions) of texts, taken in runs of RUN words."""
+def borders(model: Model, ratio: np.ndarray, words: np.ndarray, begin: np.ndarray, length: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """State probabilities before each run's first word, and backward vectors after its last one; runs of a text are adjacent."""
+    s = len(model.start)
+    enter, leave = np.tile(model.start, (len(begin), 1)), np.ones((len(begin), s))
+    last = np.append(first[1:], True)
+    several = np.flatnonzero(~(first & last))
+    if not len(several):
+        return enter, leave
+    own = several[np.argsort(-length[several], kind="stable")]
+    product = np.tile(np.eye(s), (len(own), 1, 1))
+    for t in range(int(length[own[0]])):
+        n = int(np.searchsorted(-length[own], -t, side="left"))
+        step = (product[:n] * ratio[words[begin[own[:n]] + t]][:, None, :]).reshape(-1, s) @ model.move
+        product[:n] = step.reshape(n, s, s) / step.reshape(n, -1).max(axis=1)[:, None, None]
+    at = dict(zip(own.tolist(), range(len(own)), strict=True))
+    for r in several.tolist():
+        if not last[r]:
+            v = enter[r] @ product[at[r]]
+            enter[r + 1] = v / v.sum()
+    behind = np.ones(s)
+    for r in reversed(several.tolist()):
+        behind = np.ones(s) if last[r] else behind
+        leave[r] = behind if last[r] else model.move @ behind
+        behind = product[at[r]] @ behind
+        behind /= behind.sum()
+    return enter, leave
+
+
+def expected(model: Model, texts: list[np.ndarray], run: int = RUN) -> np.ndarray:
+    """Expected counts (starts, moves, emissions) of whole texts, which move in step in runs of so many words."""
     s, k = model.emit.shape
-    ratio, move = model.ratio.astype(np.float32), model.move.astype(np.float32)
+    ratio, move = model.ratio, model.move.astype(np.float32)
     words = np.concatenate(texts).astype(np.int64)
     size = np.array([len(t) for t in texts])
-    runs_of = -(-size // RUN)
-    begin = np.repeat(np.cumsum(size) - size, runs_of) + RUN * (np.arange(runs_of.sum()) - np.repeat(np.cumsum(runs_of) - runs_of, runs_of))
-    length = np.minimum(RUN, np.repeat(np.cumsum(size), runs_of) - begin)
+    runs_of = -(-size // run)
+    begin = np.repeat(np.cumsum(size) - size, runs_of) + run * (np.arange(runs_of.sum()) - np.repeat(np.cumsum(runs_of) - runs_of, runs_of))
+    length = np.minimum(run, np.repeat(np.cumsum(size), runs_of) - begin)
     first = np.zeros(len(begin), bool)
     first[np.cumsum(runs_of) - runs_of] = True
+    enter, leave = borders(model, ratio, words, begin, length, first)
+    ratio = ratio.astype(np.float32)
     order = np.argsort(-length, kind="stable")
-    begin, length, first = begin[order], length[order], first[order]
-    live = [int(np.searchsorted(-length, -t, side="left")) for t in range(RUN)]  # runs longer than t
-    even = np.linalg.matrix_power(model.move, 64)[0].astype(np.float32)
+    place = np.argsort(order)
+    # For runs that aren't a text's first, the place of the run before.
+    follows = np.flatnonzero(~first[order])
+    came = place[order[follows] - 1]
+    begin, length, first, enter, leave = (x[order] for x in (begin, length, first, enter.astype(np.float32), leave.astype(np.float32)))
+    live = [int(np.searchsorted(-length, -t, side="left")) for t in range(int(length[0]) + 1)]  # runs longer than t
     alpha: list[np.ndarray] = []
-    now = np.where(first[:, None], model.start.astype(np.float32), even)
     seen: list[np.ndarray] = []
-    for t in range(RUN):
-        n = live[t]
-        if not n:
-            break
+    ends = np.empty_like(enter)
+    for t, n in enumerate(live[:-1]):
         seen.append(words[begin[:n] + t])
-        now = (now if not t else alpha[-1][:n] @ move) * ratio[seen[-1]]
+        now = (enter if not t else alpha[-1][:n] @ move) * ratio[seen[-1]]
         now /= now.sum(axis=1, keepdims=True)
         alpha.append(now)
+        ends[live[t + 1] : n] = now[live[t + 1] :]
     moves = np.zeros((s, s))
     posterior: list[np.ndarray] = [np.empty(0)] * len(alpha)
-    beta = np.ones_like(alpha[-1])
+    beta = leave[: live[len(alpha) - 1]]
     for t in range(len(alpha) - 1, -1, -1):
         n = len(alpha[t])
         gamma = alpha[t] * beta
         gamma /= gamma.sum(axis=1, keepdims=True)
         posterior[t] = gamma
+        ahead = ratio[seen[t]] * beta
         if t:
-            ahead = ratio[seen[t]] * beta
             before = alpha[t - 1][:n]
-            scale = np.einsum("ni,ni->n", before @ move, ahead)
-            ahead /= scale[:, None]
-            moves += (before.T @ ahead) * move
-            beta = np.ones_like(alpha[t - 1])
+        else:
+            before, ahead = ends[came], ahead[follows]
+        scale = np.einsum("ni,ni->n", before @ move, ahead)
+        ahead = ahead / scale[:, None]
+        moves += (before.T @ ahead) * move
+        if t:
+            beta = leave[: len(alpha[t - 1])].copy()
             beta[:n] = ahead @ move.T
             beta /= beta.sum(axis=1, keepdims=True) / s
     at = np.concatenate(seen)
     all_gamma = np.concatenate(posterior)
     emits = np.stack([np.bincount(at, weights=all_gamma[:, i], minlength=k) for i in range(s)])
-    starts = posterior[0][first[: len(posterior[0])]].sum(axis=0)
+    starts = posterior[0][first].sum(axis=0)
     return np.concatenate([starts, moves.ravel(), emits.ravel()])
 
 

@@ -45,6 +45,30 @@ def test_expected_counts_add_up_and_raise_the_likelihood():
     assert hmm.forward(m, texts).sum() > before + 100
 
 
+def test_counts_are_those_of_whole_texts():
+    rng = np.random.default_rng(3)
+    m = hmm.Model(rng.dirichlet(np.ones(hmm.CLASSES)), states=3)
+    texts = [rng.integers(0, 60, n).astype(np.uint16) for n in (1, 2, 7, 8, 15, 40, 100)]
+    starts, moves, emits = np.zeros(3), np.zeros((3, 3)), np.zeros((3, hmm.CLASSES))
+    for x in texts:
+        alpha, beta = np.zeros((len(x), 3)), np.ones((len(x), 3))
+        for t, w in enumerate(x):
+            alpha[t] = (alpha[t - 1] @ m.move if t else m.start) * m.ratio[w]
+            alpha[t] /= alpha[t].sum()
+        for t in range(len(x) - 2, -1, -1):
+            beta[t] = m.move @ (m.ratio[x[t + 1]] * beta[t + 1])
+            beta[t] /= beta[t].sum()
+        gamma = alpha * beta / (alpha * beta).sum(axis=1, keepdims=True)
+        starts += gamma[0]
+        np.add.at(emits.T, x.astype(int), gamma)
+        for t in range(len(x) - 1):
+            pair = alpha[t][:, None] * m.move * (m.ratio[x[t + 1]] * beta[t + 1])[None, :]
+            moves += pair / pair.sum()
+    want = np.concatenate([starts, moves.ravel(), emits.ravel()])
+    for run in (7, 8, 1000):
+        assert hmm.expected(m, texts, run) == pytest.approx(want, rel=1e-3, abs=1e-4)
+
+
 def check(df, rows, monkeypatch=None):
     count = Counter()
     out = {}
