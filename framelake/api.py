@@ -30,11 +30,13 @@ from framelake.sources.png import encode_png
 
 __all__ = [
     "align", "aoi", "compute_blue_ratio", "create_grid_image", "detect_ridgeline", "detect_segments", "draw_ridgeline", "export", "get_logger", "get_sam_ridge", "gr",
-    "ingest", "load_aoi_mask", "load_mask", "match_ridgelines_ransac", "max_corner_displacement", "parse_filename", "phenology", "plot_match_result", "pre_qc", "ridge_qc",
+    "ingest", "load_alignment_params", "load_aoi_mask", "load_mask", "match_ridgelines_ransac", "max_corner_displacement", "parse_filename", "phenology", "plot_match_result", "pre_qc", "ridge_qc",
     "segment", "snow", "snowmelt", "viz",
 ]
 
 pre_qc = screening.pre_qc
+#: File names of frames in a folder of aligned ones.
+FRAMES = ("*.png", "*.jpg", "*.jpeg", "*.tif", "*.tiff")
 
 
 def _spark() -> SparkSession:
@@ -42,16 +44,33 @@ def _spark() -> SparkSession:
 
 
 def frames_of(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """Decoded frames of a profile's rows, from their own folders (or one folder, by file name)."""
+    """Decoded frames of a profile's rows, from their own folders, or from one folder by file name without its ending.
+
+    Frames that the folder lacks come from where they are. A folder that has none of them is an error.
+    """
     path = F.col("path")
-    wanted = df.select(path if folder is None else F.concat(F.lit(str(Path(folder).resolve()) + "/"), F.element_at(F.split(path, "/"), -1)).alias("path"), path.alias("own"))
+    if folder is not None:
+        there = images.list_files(_spark(), folder, FRAMES).select(masks.stem(path).alias("stem")).distinct()
+        own = df.select("path").distinct().withColumn("stem", masks.stem(path))
+        here = own.join(there, "stem", "left_semi")
+        if own.limit(1).count() and not here.limit(1).count():
+            raise ValueError(f"{folder} has none of the frames")
+        out = stages.frames_of(_spark(), folder).withColumn("stem", masks.stem(path)).drop("path").join(here, "stem").select("path", "height", "width", "data")
+        rest = own.join(there, "stem", "left_anti")
+        return out.unionByName(frames_of(rest)) if rest.limit(1).count() else out
     # The folders of a season are few; the frames themselves are never listed on the driver.
-    folders = [folder] if folder else [r[0] for r in df.select(F.regexp_replace(path, "/[^/]*$", "")).distinct().collect()]
+    folders = [r[0] for r in df.select(F.regexp_replace(path, "/[^/]*$", "")).distinct().collect()]
     parts = [stages.frames_of(_spark(), f) for f in folders]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.join(wanted, "path", "left_semi" if folder is None else "inner").select(*(["path"] if folder is None else [F.col("own").alias("path")]), "height", "width", "data")
+    return out.join(df.select("path"), "path", "left_semi").select("path", "height", "width", "data")
+
+
+def load_alignment_params(path: str) -> dict:
+    """The segments' parameters that align() wrote (its file, or the folder with it), by segment number; empty if there is none."""
+    file = Path(path) / "alignment_params.json" if Path(path).is_dir() else Path(path)
+    return {int(k): v for k, v in json.loads(file.read_text()).items() if k.isdigit()} if file.exists() else {}
 
 
 def mask_table(source: str | DataFrame, prompts: list[str] | None = None) -> DataFrame:
@@ -134,6 +153,8 @@ def save_frames(frames: DataFrame, folder: str, skip_existing: bool = True) -> N
     """PNG files of frames under their own names; those that exist are skipped, so an interrupted run goes on."""
     Path(folder).mkdir(parents=True, exist_ok=True)
     named = frames.withColumn("name", F.concat(masks.stem(F.col("path")), F.lit(".png")))
+    if clash := frames.groupBy(masks.stem(F.col("path")).alias("stem")).agg(F.count("*").alias("n")).filter("n > 1").first():
+        raise ValueError(f"{clash['n']} frames are named {clash['stem']}")
     if skip_existing and any(Path(folder).iterdir()):
         there = _spark().createDataFrame([(p.name,) for p in Path(folder).glob("*.png")] or [("",)], "name string")
         named = named.join(there, "name", "left_anti")
@@ -180,9 +201,13 @@ def aoi(ref_image: str, output_dir: str | None = None) -> tuple[DataFrame, np.nd
     return table, area
 
 
-def snow(df: DataFrame, aligned_dir: str | None, masks_dir: str | DataFrame, mask: np.ndarray, fallback_threshold: float = 230, output_dir: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Snow masks and statistics of aligned frames; with a folder, snow_stats.csv and archives are written."""
-    table, stats = stages.snow(df, frames_of(df, aligned_dir), mask_table(masks_dir), mask, fallback_threshold)
+def snow(df: DataFrame, aligned_dir: str | None, masks_dir: str | DataFrame, mask: np.ndarray, fallback_threshold: float = 230, output_dir: str | None = None, params: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Snow masks and statistics of aligned frames; with a folder, snow_stats.csv and archives are written.
+
+    Masks are moved by the segments' parameters: those given, else those that align() left beside the aligned frames.
+    """
+    params = params if params is not None else load_alignment_params(str(Path(aligned_dir).parent)) if aligned_dir else {}
+    table, stats = stages.snow(df, frames_of(df, aligned_dir), mask_table(masks_dir), mask, fallback_threshold, params)
     if output_dir:
         write_csv(stats, Path(output_dir) / "snow_stats.csv")
         save_masks(table.select(masks.stem(F.col("path")).alias("stem"), F.lit("snow").alias("prompt"), "height", "width", "bits"), str(Path(output_dir) / "snow"))

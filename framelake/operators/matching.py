@@ -12,6 +12,10 @@ from framelake.functions.dates import noon_score
 from framelake.functions.geometry import project
 
 
+#: Shares, in millionths, of one range of the join with the closest reference.
+SHARE_RANGE = 2000
+
+
 def best_tier(df: DataFrame, keys: list[str], tiers: list[Column]) -> DataFrame:
     """A group's rows that meet the first condition which any of its rows meets; all rows if none does."""
     tier = F.lit(len(tiers))
@@ -41,48 +45,52 @@ def closest_reference(df: DataFrame, references: DataFrame, key: str, blue: str)
     """For each row the reference with the closest blue share (a difference of 0.2 or more scores 0); the smallest key of equals.
 
     The closest lies next to the row among the sorted shares, so both neighbours
-    decide; for shares all too far the smallest reference key is taken.
+    decide; for shares all too far the smallest reference key is taken. Shares are
+    cut into ranges that are joined each for itself; the last reference before and the
+    first one after a range, from a summary of a row per range, join it.
     """
     from framelake.operators.thresholds import nearest_in_time
 
     # A share is a position on a line like a time: the as-of join applies, in steps of 1e-6.
-    t = lambda d: d.withColumn("_ts", F.timestamp_micros(F.round(F.col(blue) * 1e6).cast("long"))).withColumn("_g", F.lit(0))
-    near = nearest_in_time(t(df), t(references), ["_g"], key, key, "_ts")
+    at = F.round(F.col(blue) * 1e6).cast("long")
+    t = lambda d: d.withColumn("_t", at).withColumn("_g", F.floor(F.col("_t") / F.lit(SHARE_RANGE)).cast("long"))
+    rows, refs = t(df).select(key, "_t", "_g"), t(references.filter(F.col(blue).isNotNull())).groupBy("_t", "_g").agg(F.min(key).alias(key))
+    ends = refs.groupBy("_g").agg(F.min(F.struct("_t", key)).alias("lo"), F.max(F.struct("_t", key)).alias("hi"))
+    # A row per range: shares from 0 to 1 have 500 of them.
+    ranges = rows.select("_g").distinct().join(ends, "_g", "full").withColumn("_all", F.lit(0))
+    own = W.partitionBy("_all").orderBy("_g")
+    before = F.last("hi", ignorenulls=True).over(own.rowsBetween(W.unboundedPreceding, -1))
+    after = F.last("lo", ignorenulls=True).over(W.partitionBy("_all").orderBy(F.col("_g").desc()).rowsBetween(W.unboundedPreceding, -1))
+    border = ranges.select("_g", F.array(before, after).alias("ends")).select("_g", F.explode("ends").alias("r")).filter("r is not null").select("r._t", "_g", F.col(f"r.{key}").alias(key))
+    stamped = lambda d: d.withColumn("_ts", F.timestamp_micros("_t"))
+    near = nearest_in_time(stamped(rows), stamped(refs.unionByName(border)), ["_g"], key, key, "_ts")
     least = references.agg(F.min(key).alias("m"))
     return near.select(key, F.when(F.col("gap_us") < 200_000, F.col("nearest")).otherwise(least.scalar()).alias("reference"), F.greatest(F.lit(0.0), F.lit(1.0) - F.col("gap_us") / F.lit(2e5)).alias("score"))
 
 
-def ratio_matches(df: DataFrame, candidates: DataFrame, key: str, vector: str, ratio: float = 0.7, block: int = 20_000) -> DataFrame:
+def ratio_matches(df: DataFrame, candidates: DataFrame, key: str, vector: str, ratio: float = 0.7, block: int = 4096) -> DataFrame:
     """Nearest candidate of each row by Euclidean distance, if it is nearer than ``ratio`` times the second one: ``key, match, distance, second``.
 
-    Candidates go to the tasks in blocks of a bounded size; the two best of each
-    block are merged. A row isn't its own candidate; ties go to the smaller key.
+    Blocks of either side meet in pairs; the two best of each are merged. A row
+    isn't its own candidate; ties go to the smaller key.
     """
-    n = candidates.count()
-    blocks = max(1, -(-n // block))
-    named = candidates.select(F.col(key).alias("c"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
+    from framelake.operators.thresholds import block_pairs
+
     kind, of = df.schema[key].dataType.simpleString(), candidates.schema[key].dataType.simpleString()
-    parts = None
-    for k in range(blocks):
-        t = (named if blocks == 1 else named.filter(F.col("block") == k)).orderBy("c").select("c", "v").toArrow()
-        names, own, base = t.column("c").combine_chunks(), np.array(t.column("c").to_pylist()), np.array(t.column("v").to_pylist(), float)
-
-        def run(batches, names=names, own=own, base=base):
-            for b in batches:
-                if not b.num_rows or not len(own):
-                    continue
-                x, keys = np.array(b.column(1).to_pylist(), float), np.array(b.column(0).to_pylist())
-                square = (x * x).sum(axis=1)[:, None] + (base * base).sum(axis=1)[None, :] - 2 * x @ base.T
-                distance = np.round(np.sqrt(np.maximum(square, 0)), 6)
-                distance[keys[:, None] == own[None, :]] = np.inf
-                two = np.argsort(distance, axis=1, kind="stable")[:, :2]
-                at = np.repeat(np.arange(len(keys)), two.shape[1])
-                d = distance[at, two.ravel()]
-                ok = np.isfinite(d)
-                yield pa.record_batch([b.column(0).take(pa.array(at[ok])), names.take(pa.array(two.ravel()[ok])), pa.array(d[ok])], ["k", "c", "d"])
-
-        part = df.select(key, vector).filter(F.col(vector).isNotNull()).mapInArrow(run, f"k {kind}, c {of}, d double")
-        parts = part if parts is None else parts.unionByName(part)
+
+    def compare(keys, x, names, base) -> pa.Table:
+        if not len(keys) or not len(names):
+            return pa.table({"k": keys.slice(0, 0), "c": names.slice(0, 0), "d": pa.array([], pa.float64())})
+        square = (x * x).sum(axis=1)[:, None] + (base * base).sum(axis=1)[None, :] - 2 * x @ base.T
+        distance = np.round(np.sqrt(np.maximum(square, 0)), 6)
+        distance[np.array(keys.to_pylist())[:, None] == np.array(names.to_pylist())[None, :]] = np.inf
+        two = np.argsort(distance, axis=1, kind="stable")[:, :2]
+        at = np.repeat(np.arange(len(keys)), two.shape[1])
+        d = distance[at, two.ravel()]
+        ok = np.isfinite(d)
+        return pa.table({"k": keys.take(pa.array(at[ok])), "c": names.take(pa.array(two.ravel()[ok])), "d": pa.array(d[ok])})
+
+    parts = block_pairs(df, candidates, key, vector, block, compare, f"k {kind}, c {of}, d double")
     two = parts.groupBy("k").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "c"))), 1, 2).alias("m"))
     out = two.filter(F.size("m") == 2).select(F.col("k").alias(key), F.col("m")[0]["c"].alias("match"), F.col("m")[0]["d"].alias("distance"), F.col("m")[1]["d"].alias("second"))
     return out.filter(F.col("distance") < ratio * F.col("second"))

@@ -52,49 +52,54 @@ def _standard(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
+def block_pairs(targets: DataFrame, sources: DataFrame, key: str, vector: str, block: int, compare, schema: str) -> DataFrame:
+    """compare(targets' keys and vectors, sources' keys and vectors) over pairs of blocks of the two tables.
+
+    Either side is dealt out by a hash of its key, so a task holds two blocks whatever
+    the tables' sizes; nothing passes the driver but two counts. compare gives
+    a table of the schema's columns.
+    """
+    parts = [max(1, -(-d.count() // block)) for d in (targets, sources)]
+    sides = []
+    for n, d in enumerate((targets, sources)):
+        own = F.pmod(F.xxhash64(key), F.lit(parts[n])).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.lit(parts[1 - n] - 1)))
+        named = d.filter(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"), own.alias("own"), F.lit(n).alias("side"))
+        sides.append(named.select("*", other.alias("other")).select("key", "v", "side", *(F.col(c).alias(x) for c, x in zip(("own", "other")[:: 1 - 2 * n], ("a", "b"), strict=True))))
+
+    def run(t: pa.Table) -> pa.Table:
+        side = t.column("side").to_numpy()
+        own = [t.filter(pa.array(side == n)).sort_by([("key", "ascending")]) for n in (0, 1)]
+        values = [np.array(o.column("v").to_pylist(), float).reshape(len(o), -1) if len(o) else np.empty((0, 0)) for o in own]
+        return compare(own[0].column("key").combine_chunks(), values[0], own[1].column("key").combine_chunks(), values[1])
+
+    return sides[0].unionByName(sides[1]).groupBy("a", "b").applyInArrow(run, schema)
+
+
 def best_correlated(targets: DataFrame, sources: DataFrame, key: str, vector: str, block: int = BLOCK) -> DataFrame:
     """For each target its source with the largest Pearson correlation: ``key, source, score``.
 
     The smallest source key wins ties (to nine digits); a constant vector correlates
-    as 1 with everything. Sources go to the tasks in blocks of a bounded size: one
-    pass over the targets for each block, and the best of all passes is kept.
+    as 1 with everything. Blocks of either side meet in pairs, and the best of all
+    pairs is kept. A target without any other source isn't listed.
     """
-    n = sources.count()
-    blocks = max(1, -(-n // block))
-    parts = None
-    named = sources.select(F.col(key).alias("source"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
-    for k in range(blocks):
-        t = (named if blocks == 1 else named.filter(F.col("block") == k)).orderBy("source").select("source", "v").toArrow()
-        if not len(t):
-            continue
-        names, own = t.column("source").combine_chunks(), np.array(t.column("source").to_pylist())
-        raw = np.array(t.column("v").to_pylist(), float)
-        learned, flat = _standard(raw), np.ptp(raw, axis=1) == 0
-
-        def run(batches, names=names, own=own, learned=learned, flat=flat):
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = np.array(b.column(1).to_pylist(), float)
-                keys = np.array(b.column(0).to_pylist())
-                score = np.round(_standard(x) @ learned.T, 9)
-                score[:, flat] = 1
-                score[np.ptp(x, axis=1) == 0] = 1
-                score[keys[:, None] == own[None, :]] = -2
-                at = score.argmax(axis=1)
-                best = score[np.arange(len(at)), at]
-                ok = best > -2
-                yield pa.record_batch([b.column(0).filter(pa.array(ok)), names.take(pa.array(at[ok])), pa.array(best[ok])], [key, "source", "score"])
-
-        kind, of = targets.schema[key].dataType.simpleString(), sources.schema[key].dataType.simpleString()
-        part = targets.select(key, vector).filter(F.col(vector).isNotNull()).mapInArrow(run, f"{key} {kind}, source {of}, score double")
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        return targets.select(key, F.lit(None).cast("long").alias("source"), F.lit(None).cast("double").alias("score")).limit(0)
-    if blocks == 1:
-        return parts
-    best = parts.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), "source")).alias("b"))
-    return best.select(key, F.col("b.source").alias("source"), (-F.col("b.s")).alias("score"))
+    kind, of = targets.schema[key].dataType.simpleString(), sources.schema[key].dataType.simpleString()
+
+    def compare(keys, x, names, base) -> pa.Table:
+        if not len(keys) or not len(names):
+            return pa.table({"key": keys.slice(0, 0), "source": names.slice(0, 0), "score": pa.array([], pa.float64())})
+        score = np.round(_standard(x) @ _standard(base).T, 9)
+        score[:, np.ptp(base, axis=1) == 0] = 1
+        score[np.ptp(x, axis=1) == 0] = 1
+        score[np.array(keys.to_pylist())[:, None] == np.array(names.to_pylist())[None, :]] = -2
+        at = score.argmax(axis=1)
+        best = score[np.arange(len(at)), at]
+        ok = best > -2
+        return pa.table({"key": keys.filter(pa.array(ok)), "source": names.take(pa.array(at[ok])), "score": pa.array(best[ok])})
+
+    met = block_pairs(targets, sources, key, vector, block, compare, f"key {kind}, source {of}, score double")
+    best = met.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "source")).alias("b"))
+    return best.select(F.col("key").alias(key), F.col("b.source").alias("source"), (-F.col("b.s")).alias("score"))
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, by: list[str], left_key: str, right_key: str, ts: str = "ts") -> DataFrame:
@@ -114,7 +119,9 @@ def nearest_in_time(left: DataFrame, right: DataFrame, by: list[str], left_key:
     merged = a.select(*by, "t", F.col("k").cast("long").alias("k"), "r").unionByName(b)
     order = W.partitionBy(*by).orderBy("t")
     before = F.last("r", ignorenulls=True).over(order.rangeBetween(W.unboundedPreceding, W.currentRow))
-    after = F.first("r", ignorenulls=True).over(order.rangeBetween(W.currentRow, W.unboundedFollowing))
+    # The first one after is the last one so far in the other direction: a frame that grows is summed up as it goes, one that shrinks isn't.
+    back_order = W.partitionBy(*by).orderBy(F.col("t").desc())
+    after = F.last("r", ignorenulls=True).over(back_order.rangeBetween(W.unboundedPreceding, W.currentRow))
     found = merged.withColumn("p", before).withColumn("n", after).filter("k is not null")
     back, ahead = F.col("t") - F.col("p.t"), F.col("n.t") - F.col("t")
     use_back = F.col("p").isNotNull() & (F.col("n").isNull() | (back <= ahead))

@@ -336,14 +336,19 @@ def valid_mask(own: dict[str, np.ndarray], area: np.ndarray) -> np.ndarray:
     return ok
 
 
-def snow(df: DataFrame, frames: DataFrame, mask_table: DataFrame, area: np.ndarray, fallback_threshold: float = 230) -> tuple[DataFrame, DataFrame]:
+def snow(df: DataFrame, frames: DataFrame, mask_table: DataFrame, area: np.ndarray, fallback_threshold: float = 230, params: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """Snow masks (path, height, width, bits) and statistics of aligned frames.
 
+    With the segments' alignment parameters, masks (which are of the frames as taken)
+    are moved to the target's coordinates first, as the aligned frames were.
+
     A frame's blue threshold is learned from its snow and bare mountain pixels,
     else borrowed from the frame with the most similar histogram, else from the
     nearest in time, else constant.
     """
     prompts = (*EXCLUDED, "snow", "mountain")
+    if params:
+        mask_table = warp_masks(df, mask_table.filter(F.col("prompt").isin(*prompts)), params, area.shape[1], area.shape[0])
     ready = df.filter("align_status = 'success'").select("path", "filename", "timestamp", "segment_id")
     mine = with_masks(frames.join(ready, "path"), mask_table, prompts).filter("data is not null")
     mine = mine.select("path", "filename", "timestamp", "segment_id", "height", "width", "data", F.transform(F.map_entries("masks"), lambda e: F.struct(e["key"].alias("_1"), e["value"].alias("_2"))).alias("masks"))

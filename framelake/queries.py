@@ -204,14 +204,14 @@ def q_otsu_threshold(spark, sf_dir):
 
 
 @query("""
-WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), l AS (SELECT * FROM v WHERE vec_id % 10 = 0),
-p AS (SELECT v.vec_id, l.vec_id AS source, unnest(v.e) AS a, unnest(l.e) AS b FROM v JOIN l ON v.vec_id <> l.vec_id),
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+p AS (SELECT v.vec_id, l.vec_id AS source, unnest(v.e) AS a, unnest(l.e) AS b FROM v JOIN v l ON v.vec_id <> l.vec_id),
 c AS (SELECT vec_id, source, round(corr(a, b), 6) AS score, round(corr(a, b), 9) AS s FROM p GROUP BY 1, 2)
 SELECT vec_id, source, score FROM c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, source) = 1
 """)
 def q_hist_correlation_match(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
-    return rounded(thresholds.best_correlated(e, e.filter(F.pmod("vec_id", F.lit(10)) == 0), "vec_id", "embedding"), score=6)
+    return rounded(thresholds.best_correlated(e, e, "vec_id", "embedding"), score=6)
 
 
 @query("""
@@ -558,11 +558,11 @@ def q_corner_displacement(spark, sf_dir):
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 p AS (SELECT a.vec_id, b.vec_id AS m, round(list_distance(a.e, b.e), 6) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER w AS n, lead(d) OVER w AS second FROM p WINDOW w AS (PARTITION BY vec_id ORDER BY d, m))
-SELECT vec_id, m AS match, d AS distance, second FROM r WHERE n = 1 AND d < 0.7 * second
+SELECT vec_id, m AS match, d AS distance, second FROM r WHERE n = 1 AND d < 0.95 * second
 """)
 def q_knn_ratio_match(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
-    return matching.ratio_matches(e, e, "vec_id", "embedding")
+    return matching.ratio_matches(e, e, "vec_id", "embedding", ratio=0.95)
 
 
 @query("""

@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 from framelake import api
 from framelake.functions.sql import register
+from framelake.plans import stages
 from framelake.sources import masks
+from pyspark.sql import functions as F
 
 from tests.test_images import scene, write
 
@@ -19,10 +21,10 @@ def test_season_by_folder(spark, tmp_path):
     for n in range(6):
         image, sky = scene(*((0, 0, 0) if n < 3 else (9, 7, 0.3)))
         name = f"{datetime(2020, 7, 1, 12) + timedelta(days=n):cam_%Y%m%d_%H%M}"
-        write(frames, f"{name}.png", image)
+        write(frames, f"{name}.JPG", image)
         masks.save_mask(str(mask_dir / f"{name}_sky.npz"), sky)
         masks.save_mask(str(mask_dir / f"{name}_mountain.npz"), ~sky)
-    profile = api.ingest(str(frames), ("*.png",))
+    profile = api.ingest(str(frames), ("*.jpg",))
     target = profile.first()["path"]
     qc = api.ridge_qc(profile, str(mask_dir), target, str(out)).cache()
     done, warped = api.align(qc, target, str(mask_dir), output_dir=str(out), grid_size=20)
@@ -42,6 +44,43 @@ def test_season_by_folder(spark, tmp_path):
     assert "snowmelt/doy.npz" in log["file_hashes"]
 
 
+def test_masks_are_moved_with_their_frames(spark):
+    """Frames stand in the target's coordinates, masks as taken, 7 columns and 4 rows off: thresholds are learned from the moved pixels."""
+    rng = np.random.default_rng(4)
+    area = np.ones((48, 64), bool)
+    region = np.zeros((48, 64), bool)
+    region[12:30, 20:50] = True
+    image = np.zeros((48, 64, 3), np.uint8)
+    image[..., 0] = np.where(region, rng.integers(200, 256, region.shape), rng.integers(0, 180, region.shape))
+    taken = np.zeros_like(region)
+    taken[8:26, 13:43] = True
+    move = {0: {"status": "success", "H": [[1, 0, 7], [0, 1, 4], [0, 0, 1]], "distortion_params": None}}
+    frames = spark.createDataFrame([("/a/x.JPG", 48, 64, bytearray(image.tobytes()))], "path string, height int, width int, data binary")
+    table = spark.createDataFrame([("x", p, 48, 64, bytearray(masks.pack(m))) for p, m in (("snow", taken), ("mountain", area))], "stem string, prompt string, height int, width int, bits binary")
+    df = spark.createDataFrame([("/a/x.JPG", "x.JPG", datetime(2020, 7, 1, 12), "success", 0)], "path string, filename string, timestamp timestamp_ntz, align_status string, segment_id int")
+    moved = stages.snow(df, frames, table, area, params=move)[1].first()
+    assert (moved["n_snow"], moved["n_sam_snow"], moved["threshold_source"], moved["fit_f1"]) == (region.sum(), region.sum(), "learned", 1.0)
+    least = int(image[..., 0][region].min())
+    assert image[..., 0][~region].max() < moved["threshold"] <= least
+    assert stages.snow(df, frames, table, area)[1].first()["fit_f1"] < 1
+
+
+def test_folders_without_the_frames(spark, tmp_path):
+    image, _ = scene()
+    write(tmp_path / "f", "a.JPG", image)
+    write(tmp_path / "f", "b.JPG", image)
+    write(tmp_path / "other", "a.png", image // 2)
+    write(tmp_path / "none", "c.png", image)
+    df = api.ingest(str(tmp_path / "f"), ("*.jpg",))
+    got = {r["path"].rsplit("/", 1)[1]: bytes(r["data"]) for r in api.frames_of(df, str(tmp_path / "other")).collect()}
+    assert got == {"a.JPG": (image // 2).tobytes(), "b.JPG": image.tobytes()}
+    with pytest.raises(ValueError):
+        api.frames_of(df, str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        api.save_frames(api.frames_of(df).withColumn("path", F.lit("/x/a.JPG")), str(tmp_path / "out"))
+    assert api.load_alignment_params(str(tmp_path)) == {}
+
+
 def test_segments_of_matches():
     flat = {"dx": 0.0, "dy": 0.0, "angle": 0.0, "scale": 1.0, "success": True}
     results = [dict(flat), dict(flat, dx=1.0), dict(flat, success=False), dict(flat, dx=30.0)]
