@@ -1,10 +1,12 @@
 """SimHash near-dedup with pivot distance tables.
 
-Every distinct fingerprint has a row of the pivot table: its Hamming distances to
-``PIVOTS`` fixed reference fingerprints. By the triangle inequality, fingerprints
-within ``max_bits`` of each other differ by at most ``max_bits`` at every pivot, so a
-pair with a larger difference at any pivot is discarded without being compared; the
-pairs that survive are verified.
+The pivot table holds a row for every distinct fingerprint, computed once and written:
+its Hamming distances to ``PIVOTS`` fixed reference fingerprints, a byte each. By the
+triangle inequality, fingerprints within ``max_bits`` of each other differ by at most
+``max_bits`` at every pivot. So the rows that meet are sorted by their distance to the
+first pivot, each is paired with those only that follow within ``max_bits``, pairs
+with a larger difference at any other pivot are discarded, and the survivors
+are verified.
 
 Which pairs meet at all depends on the radius. For a few bits, the fingerprint is cut
 into ``max_bits + 2`` segments: two fingerprints with at most ``max_bits`` differing
@@ -150,10 +152,26 @@ def sampled_masks(words: int, n: int, similarity: float, recall: float, seed: in
 
 
 def pivot_table(fp: np.ndarray) -> np.ndarray:
-    """Distances of fingerprints (rows of 64-bit words) to the references."""
+    """Distances of fingerprints (rows of 64-bit words) to the references, at most 255: that keeps the bound."""
     words = fp.shape[1]
     refs = mix64(np.arange(1, PIVOTS * words + 1, dtype=np.uint64)).reshape(PIVOTS, words)
-    return np.stack([np.bitwise_count(fp ^ r).sum(axis=1, dtype=np.int16) for r in refs], axis=1)
+    return np.stack([np.minimum(np.bitwise_count(fp ^ r).sum(axis=1, dtype=np.int16), 255).astype(np.uint8) for r in refs], axis=1)
+
+
+def with_pivots(distinct: DataFrame, names: list[str]) -> DataFrame:
+    """Distinct fingerprints with their row of the pivot table, ``pivots``."""
+
+    columns = distinct.columns
+    at = [columns.index(n) for n in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                table = pivot_table(np.stack([b.column(i).to_numpy() for i in at], axis=1).view(np.uint64))
+                yield pa.record_batch([*b.columns, pa.array([r.tobytes() for r in table], pa.binary())], [*columns, "pivots"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in distinct.schema)
+    return distinct.mapInArrow(lean(run), f"{fields}, pivots binary")
 
 
 def _within(table: np.ndarray, fp: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,14 +184,17 @@ def _within(table: np.ndarray, fp: np.ndarray, a: np.ndarray, b: np.ndarray, mos
 
 
 def _linker(most: int):
-    def links(group: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
-        # Rows of a group are adjacent: compare each row with the one d places on, while any group is that large.
-        table = pivot_table(fp)
+    def links(group: np.ndarray, node: np.ndarray, pivots: pa.ChunkedArray, fp: np.ndarray) -> pa.RecordBatch | None:
+        table = np.frombuffer(b"".join(pivots.to_pylist()), np.uint8).reshape(-1, PIVOTS).astype(np.int16)
+        # Rows of a group are adjacent; in it they go by the first pivot, so a row's partners follow until they are too far.
+        order = np.lexsort((table[:, 0], group))
+        group, node, table, fp = group[order], node[order], table[order], fp[order]
+        first = table[:, 0]
         found_a, found_b = [], []
         a = np.arange(len(group))
         for gap in itertools.count(1):
             a = a[a < len(group) - gap]
-            a = a[group[a] == group[a + gap]]
+            a = a[(group[a] == group[a + gap]) & (first[a + gap] - first[a] <= most)]
             if not len(a):
                 break
             x, y = _within(table, fp, a, a + gap, most)
@@ -194,9 +215,9 @@ def _linker(most: int):
 
         def flush(last: bool) -> tuple[pa.RecordBatch | None, list[pa.RecordBatch]]:
             t = pa.Table.from_batches(held).combine_chunks()
-            group, node, *words = (t.column(i).to_numpy() for i in range(t.num_columns))
+            group, node, *words = (t.column(i).to_numpy() for i in range(t.num_columns) if t.schema.field(i).name != "pivots")
             end = len(group) if last else int(np.flatnonzero(group != group[-1])[-1] + 1) if group[0] != group[-1] else 0
-            out = links(group[:end], node[:end], np.stack(words, axis=1)[:end].view(np.uint64)) if end else None
+            out = links(group[:end], node[:end], t.column("pivots").slice(0, end), np.stack(words, axis=1)[:end].view(np.uint64)) if end else None
             return out, t.slice(end).to_batches()
 
         for b in batches:
@@ -216,10 +237,10 @@ def _linker(most: int):
 
 
 def fingerprint_links(distinct: DataFrame, masks: list[list[int]], max_bits: int, block: int = BLOCK, broadcast_keys: int = 1_000_000) -> DataFrame:
-    """``node, root``: a forest whose trees are the components of distinct fingerprints (``node, fp0, ...``) that meet under a mask."""
-    names = [c for c in distinct.columns if c != "node"]
+    """``node, root``: a forest whose trees are the components of distinct fingerprints (``node, fp0, ..., pivots``) that meet under a mask."""
+    names = [c for c in distinct.columns if c not in ("node", "pivots")]
     key = lambda n, mask: F.xxhash64(F.lit(n), *(F.col(c).bitwiseAND(F.lit(signed(m))) for c, m in zip(names, mask, strict=True)))
-    filed = distinct.select("node", *names, F.explode(F.array(*(key(n, m) for n, m in enumerate(masks)))).alias("key"))
+    filed = distinct.select("node", *names, "pivots", F.explode(F.array(*(key(n, m) for n, m in enumerate(masks)))).alias("key"))
     counts = filed.groupBy("key").agg(F.count("*").alias("n"))
     # Keys of one block or less need no split; the others are few, and are broadcast if they are.
     large = Table(counts.filter(F.col("n") > block), "large-keys").df
@@ -229,7 +250,7 @@ def fingerprint_links(distinct: DataFrame, masks: list[list[int]], max_bits: int
     # A row of block i goes to the block pairs (i, j) and (j, i) with the smaller one first.
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group")
-    dealt = met.select(group, "node", *names).repartition("group").sortWithinPartitions("group")
+    dealt = met.select(group, "node", *names, "pivots").repartition("group").sortWithinPartitions("group")
     return dealt.mapInArrow(lean(_linker(max_bits)), "node long, root long")
 
 
@@ -255,9 +276,9 @@ def simhash_groups(
     names = print_columns(words)
     prints = Table(fingerprints(df, id_column, text_column, shingle_words, seed, words, repeats), "fingerprints").df
     node = F.col("fp0") if words == 1 else F.xxhash64(*names)
-    distinct = Table(prints.groupBy(*names).agg(F.min("id").alias("least")).withColumn("node", node), "distinct-prints").df
+    distinct = Table(with_pivots(prints.groupBy(*names).agg(F.min("id").alias("least")).withColumn("node", node), names), "pivot-table").df
     masks = segment_masks(max_bits) if similarity is None else sampled_masks(words, distinct.count(), similarity, recall)
-    roots = components(fingerprint_links(distinct.select("node", *names), masks, max_bits))
+    roots = components(fingerprint_links(distinct.select("node", *names, "pivots"), masks, max_bits))
     rooted = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = Table(rooted, "rooted-prints").df
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -1,7 +1,9 @@
 import random
 
 import xxhash
+from framelake.llm import simhash
 from framelake.llm.simhash import fingerprint, sampled_masks, segment_masks, simhash_groups
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import docs
 
@@ -58,20 +60,18 @@ def test_near_copies_link(spark):
 
 
 def test_blocks_of_large_groups(spark):
-    from framelake.llm import simhash
     from framelake.llm.common import components as connect
 
     rng = random.Random(4)
     center = rng.getrandbits(63)
     prints = list({center ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(4))) for _ in range(300)})
     df = spark.createDataFrame([(f, f) for f in prints], "node long, fp0 long")
-    got = {r["node"]: r["root"] for r in connect(simhash.fingerprint_links(df, simhash.segment_masks(3), 3, block=20)).collect()}
+    got = {r["node"]: r["root"] for r in connect(simhash.fingerprint_links(simhash.with_pivots(df, ["fp0"]), simhash.segment_masks(3), 3, block=20)).collect()}
     root = components(prints)
     assert {f: got.get(f, f) for f in prints} == root
 
 
 def test_very_long_texts_come_in_blocks(monkeypatch):
-    from framelake.llm import simhash
 
     text = " ".join(f"W{i % 977}" for i in range(5000)).encode()
     whole = fingerprint(text, 3, 42), fingerprint(text, 3, 42, 4, False)
@@ -113,3 +113,12 @@ def test_masks_cover_their_promises():
 
 def test_empty_table(none):
     assert simhash_groups(none).count() == 0
+
+
+def test_pairs_come_from_the_stored_pivot_table(spark):
+    """The written distances decide which fingerprints are compared: with those of one row moved, its link is lost."""
+    df = spark.createDataFrame([(1, 0b1011), (2, 0b1010), (3, 0b111111 << 40)], "node long, fp0 long")
+    table = simhash.with_pivots(df, ["fp0"])
+    links = lambda t: {tuple(r) for r in simhash.fingerprint_links(t, simhash.segment_masks(3), 3).collect()}
+    assert links(table) == {(2, 1)}
+    assert links(table.withColumn("pivots", F.when(F.col("node") == 2, F.unhex(F.lit("00" * simhash.PIVOTS))).otherwise(F.col("pivots")))) == set()
