@@ -260,7 +260,8 @@ def repeated_runs(rows: DataFrame, length: int = LENGTH, broadcast_keys: int = B
     mixed = contexts.groupBy("rank").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).filter("kinds > 1 and least = 1").select("rank", "kinds")
     # A passage that many texts share is one context, so its anchors must not meet in one task.
     settled = hot_join(shared, contexts.filter("copies > 1").select("rank", "context", "copies"), ["rank", "context"], "copies").select("id", "row", "first", "n")
-    asked = contexts.join(mixed, "rank").select("rank", F.xxhash64("rank", "context").alias("context"), "place.*", (F.col("copies") == 1).alias("single"), "kinds")
+    # So is a rank that many contexts share.
+    asked = hot_join(contexts, mixed.withColumn("contexts", F.col("kinds")), ["rank"], "contexts").select("rank", F.xxhash64("rank", "context").alias("context"), "place.*", (F.col("copies") == 1).alias("single"), "kinds")
     jobs = Table(asked, "context-jobs").df
     by_row = jobs.groupBy("row", "id").agg(F.collect_list(F.struct("rank", "context", "first", "n", "single", "kinds")).alias("jobs"))
     texts = within(rows, jobs.select("row").distinct(), "row", broadcast_keys)
