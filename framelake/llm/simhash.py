@@ -19,6 +19,11 @@ number of fingerprints, so that keys stay as selective at any size.
 
 Large groups under a key are dealt out as pairs of blocks. From each block pair only a
 spanning forest of its links is emitted, never all pairs.
+
+With ``jaccard``, fingerprints only say which documents may belong together: within
+their components, links are those pairs whose sets of shingles have that Jaccard
+similarity. A component that is small enough is compared in one task. Of a larger one
+all documents are compared with its first, and those that it doesn't link, with all.
 """
 
 from __future__ import annotations
@@ -35,11 +40,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm.common import EDGE, Table, batch, bounded_batches, components, documents, lean, local_roots, mix64, raw, sized, text_of
+from framelake.llm.suffix_dedup import BROADCAST_KEYS, within
 
 #: Reference fingerprints of the pivot table.
 PIVOTS = 16
 #: Fingerprints of one key that are compared with each other in one block.
 BLOCK = 2048
+#: Shingles of one component that are compared in one task (8 bytes each).
+SHINGLES = 1 << 21
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -254,9 +262,132 @@ def fingerprint_links(distinct: DataFrame, masks: list[list[int]], max_bits: int
     return dealt.mapInArrow(lean(_linker(max_bits)), "node long, root long")
 
 
+SET = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("size", pa.int32()), ("shingles", pa.binary())])
+
+
+def _shingle_sets(k: int, seed: int):
+    """The sorted distinct shingle hashes of texts (``node, root, text``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = []
+            for text in raw(b.column(2)):
+                parts = [*shingle_hashes(text, k, seed)]
+                sets.append(np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64))
+            yield batch(SET, b.column(0), b.column(1), [len(x) for x in sets], [x.tobytes() for x in sets])
+
+    return run
+
+
+def alike(one: np.ndarray, two: np.ndarray, jaccard: float) -> bool:
+    """Whether two sorted sets have the similarity; two empty ones are equal."""
+    shared = len(np.intersect1d(one, two, assume_unique=True))
+    return shared >= jaccard * (len(one) + len(two) - shared)
+
+
+def _with_first(jaccard: float):
+    """Whether documents have the similarity with the first one of their component (``node, root, size, shingles, first``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            linked = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), jaccard) for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            yield pa.record_batch([*b.columns[:4], pa.array(linked, pa.bool_())], [*SET.names, "linked"])
+
+    return run
+
+
+def linked_sets(node: np.ndarray, sets: list[np.ndarray], linked: np.ndarray, jaccard: float) -> list[tuple[int, int]]:
+    """Pairs of positions that have the similarity, as many as connect all that such pairs connect.
+
+    Linked rows are of one component as they are, and aren't compared with each other.
+    """
+    rows = len(sets)
+    size = np.array([len(x) for x in sets])
+    value, at = np.concatenate(sets), np.repeat(np.arange(rows), size)
+    _, kind, often = np.unique(value, return_inverse=True, return_counts=True)
+    holders = at[np.argsort(kind, kind="stable")]
+    begin = np.cumsum(often) - often
+    first = np.cumsum(size) - size
+    root = np.arange(rows)
+    if linked.any():
+        root[linked] = np.flatnonzero(linked)[0]
+    out: list[tuple[int, int]] = []
+    for i in np.flatnonzero(~linked).tolist():
+        own = kind[first[i] : first[i] + size[i]]
+        n = often[own]
+        places = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        shared = np.bincount(holders[places], minlength=rows)
+        near = (shared >= jaccard * (size + size[i] - shared)) & (root != root[i])
+        for j in np.flatnonzero(near).tolist():
+            if root[j] != root[i]:
+                out.append((i, j))
+                root[root == max(root[i], root[j])] = min(root[i], root[j])
+    return out
+
+
+def _set_linker(jaccard: float):
+    """The links of each group of adjacent rows ``group, node, size, shingles, linked``; a group is bounded by its shingles and its rows."""
+
+    def links(rows: list[tuple[int, bytes, bool]]) -> pa.RecordBatch | None:
+        rows = [*{r[0]: r for r in rows}.values()]
+        if len(rows) < 2:
+            return None
+        node = np.array([r[0] for r in rows], np.int64)
+        pairs = linked_sets(node, [np.frombuffer(r[1], np.uint64) for r in rows], np.array([r[2] for r in rows]), jaccard)
+        ends = [sorted((int(node[a]), int(node[b])), reverse=True) for a, b in pairs]
+        return batch(EDGE, *zip(*ends, strict=True)) if ends else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for b in batches:
+            columns = (b.column(n).to_pylist() for n in ("group", "node", "shingles", "linked"))
+            for own, *row in zip(*columns, strict=True):
+                if own != group:
+                    if (out := links(held)) is not None:
+                        yield out
+                    group, held = own, []
+                held.append(tuple(row))
+        if (out := links(held)) is not None:
+            yield out
+
+    return run
+
+
+def verified_roots(texts: DataFrame, members: DataFrame, shingle_words: int, seed: int, jaccard: float, shingles: int = SHINGLES, block: int = BLOCK, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """``node, root`` of the components that links of the similarity make within those of ``members`` (``node, row, root``; ``texts``: ``row, text``)."""
+    asked = within(texts, members.select("row").distinct(), "row", broadcast_keys).dropDuplicates(["row"])
+    asked = asked.join(members, "row").select("node", "root", "text")
+    sets = Table(asked.mapInArrow(lean(_shingle_sets(shingle_words, seed)), "node long, root long, size int, shingles binary"), "shingle-sets").df
+    sizes = sets.groupBy("root").agg(F.sum("size").alias("all"), F.count("*").alias("n"))
+    large = sized(sizes.filter((F.col("all") > shingles) | (F.col("n") > block)).withColumn("mean", F.ceil(F.col("all") / F.col("n"))).select("root", "mean"), "large-components")
+    small = sets.join(large, "root", "left_anti").select(F.col("root").alias("group"), "node", "size", "shingles", F.lit(False).alias("linked"))
+
+    # The first of a large component links what it can; only the others are compared with all.
+    of_large = sets.join(large, "root")
+    firsts = of_large.filter("node = root").select("root", F.col("shingles").alias("first"))
+    compared = of_large.join(sized(firsts, "first-sets", rows=1000), "root").select(*SET.names, "first")
+    compared = Table(compared.mapInArrow(lean(_with_first(jaccard)), "node long, root long, size int, shingles binary, linked boolean"), "compared-sets").df
+    open_ones = compared.groupBy("root").agg(F.sum(F.col("size").cast("long")).alias("all"), F.count("*").alias("n"), F.sum((~F.col("linked")).cast("int")).alias("open"), F.sum(F.when(~F.col("linked"), F.col("size")).otherwise(0)).alias("open_all"))
+    blocks = lambda n, size: F.greatest(F.ceil(2 * n / block), F.ceil(2 * size / shingles)).cast("int")
+    dealt = open_ones.filter("open > 0").select("root", blocks(F.col("open"), F.col("open_all")).alias("open_blocks"), blocks(F.col("n") - F.col("open"), F.col("all") - F.col("open_all")).alias("linked_blocks"))
+    dealt = compared.join(sized(dealt, "open-components"), "root")
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("linked"), F.col("linked_blocks")).otherwise(F.col("open_blocks"))).cast("int")
+    key = lambda kind, a, b: F.xxhash64("root", F.lit(kind), a, b)
+    each = F.sequence(F.lit(0), F.col("open_blocks") - 1)
+    among = F.transform(each, lambda o: key(0, F.least(F.col("own"), o), F.greatest(F.col("own"), o)))
+    across = F.transform(F.sequence(F.lit(0), F.col("linked_blocks") - 1), lambda a: key(1, F.col("own"), a))
+    groups = F.when(F.col("linked"), F.transform(each, lambda o: key(1, o, F.col("own")))).otherwise(F.concat(among, across))
+    met = dealt.withColumn("own", own).withColumn("group", F.explode(groups)).select("group", "node", "size", "shingles", "linked")
+
+    def edges(rows: DataFrame) -> DataFrame:
+        return rows.repartition("group").sortWithinPartitions("group", "node").mapInArrow(lean(_set_linker(jaccard)), "node long, root long")
+
+    return components(edges(small).unionByName(edges(met)).unionByName(compared.filter("linked AND node <> root").select("node", "root")))
+
+
 def simhash_groups(
     df: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 3, max_bits: int = 3, seed: int = 42,
-    words: int = 1, repeats: bool = True, similarity: float | None = None, recall: float = 0.97,
+    words: int = 1, repeats: bool = True, similarity: float | None = None, recall: float = 0.97, jaccard: float | None = None,
 ) -> DataFrame:
     """One row per input row: ``id, row, fp0, ..., component_id, root``; component_id is the smallest id reachable by links, itself included.
 
@@ -276,9 +407,15 @@ def simhash_groups(
     names = print_columns(words)
     prints = Table(fingerprints(df, id_column, text_column, shingle_words, seed, words, repeats), "fingerprints").df
     node = F.col("fp0") if words == 1 else F.xxhash64(*names)
-    distinct = Table(with_pivots(prints.groupBy(*names).agg(F.min("id").alias("least")).withColumn("node", node), names), "pivot-table").df
+    distinct = Table(with_pivots(prints.groupBy(*names).agg(F.min("id").alias("least"), F.min("row").alias("text_row")).withColumn("node", node), names), "pivot-table").df
     masks = segment_masks(max_bits) if similarity is None else sampled_masks(words, distinct.count(), similarity, recall)
     roots = components(fingerprint_links(distinct.select("node", *names, "pivots"), masks, max_bits))
+    if jaccard is not None:
+        # Nodes that aren't their own root are listed; each of them and its root is a member.
+        loose = Table(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "loose-components").df
+        members = Table(loose.join(distinct.select("node", F.col("text_row").alias("row")), "node").select("node", "row", "root"), "loose-members").df
+        text = text_of(text_column).cast("string")
+        roots = verified_roots(df.select(F.xxhash64(text).alias("row"), text.alias("text")), members, shingle_words, seed, jaccard)
     rooted = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = Table(rooted, "rooted-prints").df
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

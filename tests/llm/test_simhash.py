@@ -122,3 +122,50 @@ def test_pairs_come_from_the_stored_pivot_table(spark):
     links = lambda t: {tuple(r) for r in simhash.fingerprint_links(t, simhash.segment_masks(3), 3).collect()}
     assert links(table) == {(2, 1)}
     assert links(table.withColumn("pivots", F.when(F.col("node") == 2, F.unhex(F.lit("00" * simhash.PIVOTS))).otherwise(F.col("pivots")))) == set()
+
+
+def five_word_sets(rows):
+    return {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for i, t in rows}
+
+
+def by_jaccard(rows, least=0.8):
+    """The smallest id that links of the similarity reach, by all pairs."""
+    sets = five_word_sets(rows)
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if b < a and root[a] != root[b] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return root
+
+
+def near_rows(rng, copies, edits):
+    base = [[f"{rng.randrange(10**6)}" for _ in range(150)] for _ in range(4)]
+    rows = [(0, ""), (1, "  "), (2, "a b"), (3, "a b c")]
+    for n in range(4, 4 + copies):
+        words = list(base[n % 4])
+        for _ in range(rng.randrange(edits)):
+            words[rng.randrange(150)] = f"{rng.randrange(10**6)}"
+        rows.append((n, " ".join(words)))
+    return rows
+
+
+def linked(spark, rows):
+    found = simhash_groups(docs(spark, rows), shingle_words=5, words=4, repeats=False, max_bits=64, similarity=0.75, recall=0.995, jaccard=0.8)
+    return {r["id"]: r["component_id"] for r in found.collect()}
+
+
+def test_only_pairs_of_the_similarity_link(spark):
+    rows = near_rows(random.Random(4), 120, 9)
+    want = by_jaccard(rows)
+    assert 10 < len(set(want.values())) < 100
+    assert linked(spark, rows) == want
+
+
+def test_large_components_are_compared_with_their_first(spark, monkeypatch):
+    rows = near_rows(random.Random(5), 160, 9)
+    defaults = list(simhash.verified_roots.__defaults__)
+    monkeypatch.setattr(simhash.verified_roots, "__defaults__", (2000, 6, 0))
+    assert len(defaults) == 3
+    assert linked(spark, rows) == by_jaccard(rows)
