@@ -35,10 +35,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component: that with the smallest doc_id.
 
     Documents link when their five-word shingles have a Jaccard similarity of 0.8
-    or more, as fingerprints of 256 bits tell it: at 0.8, 39 bits differ on
-    average with a deviation of 6, so 48 bits are allowed.
+    or more. Fingerprints of 256 bits say which may: at 0.8, 39 bits differ on
+    average with a deviation of 6, so 52 bits are allowed.
     """
-    found = simhash_groups(docs, shingle_words=5, words=4, repeats=False, max_bits=48, similarity=0.8)
+    found = simhash_groups(docs, shingle_words=5, words=4, repeats=False, max_bits=52, similarity=0.8, jaccard=0.8)
     decided = Table(found.select("id", "row", "root"), "near-decisions").df
     dropped = Table(losers(decided, "root"), "near-losers").df
     return drop_documents(docs, dropped, Table(repeated(decided), "near-doubles").df)
