@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch: 256 texts bound a worker's memory even where texts are very long.
 BATCH_ROWS = 256
+#: Bytes after which a batch ends (the row that passes them is its last).
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -118,8 +120,9 @@ def hot_join(df: DataFrame, keys: DataFrame, on: list[str], count: str) -> DataF
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Limit the Arrow batches that Python workers get, as texts can be very long."""
+    """Limit the Arrow batches that Python workers get, by rows and by bytes, as texts can be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,7 +47,9 @@ PIVOTS = 16
 #: Fingerprints of one key that are compared with each other in one block.
 BLOCK = 2048
 #: Shingles of one component that are compared in one task (8 bytes each).
-SHINGLES = 1 << 21
+SHINGLES = 1 << 19
+#: Bytes of the first documents of large components that are broadcast at most.
+FIRSTS = 1 << 25
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -364,8 +366,9 @@ def verified_roots(texts: DataFrame, members: DataFrame, shingle_words: int, see
 
     # The first of a large component links what it can; only the others are compared with all.
     of_large = sets.join(large, "root")
-    firsts = of_large.filter("node = root").select("root", F.col("shingles").alias("first"))
-    compared = of_large.join(sized(firsts, "first-sets", rows=1000), "root").select(*SET.names, "first")
+    firsts = Table(of_large.filter("node = root").select("root", F.col("shingles").alias("first")), "first-sets").df
+    few = (firsts.agg(F.sum(F.length("first"))).first()[0] or 0) <= FIRSTS
+    compared = of_large.join(F.broadcast(firsts) if few else firsts, "root").select(*SET.names, "first")
     compared = Table(compared.mapInArrow(lean(_with_first(jaccard)), "node long, root long, size int, shingles binary, linked boolean"), "compared-sets").df
     open_ones = compared.groupBy("root").agg(F.sum(F.col("size").cast("long")).alias("all"), F.count("*").alias("n"), F.sum((~F.col("linked")).cast("int")).alias("open"), F.sum(F.when(~F.col("linked"), F.col("size")).otherwise(0)).alias("open_all"))
     blocks = lambda n, size: F.greatest(F.ceil(2 * n / block), F.ceil(2 * size / shingles)).cast("int")
