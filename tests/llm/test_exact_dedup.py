@@ -1,8 +1,8 @@
 import hashlib
+import importlib
 import re
 from collections import Counter
 
-from framelake.llm import exact_dedup
 from framelake.llm.exact_dedup import directory, exact_dedup, normalised
 from framelake.llm.rows import drop_documents, losers, repeated
 from pyspark.sql import functions as F
@@ -68,8 +68,9 @@ def test_dropping_keeps_one_row_of_each_text(odd, odd_rows):
 
 def test_the_directory_places_what_is_found(odd, monkeypatch):
     """Entries and chains meet in the buckets that the directory names: without a cell, its rows are lost."""
-    whole = exact_dedup.exact_dedup(odd, bucket_keys=3).select("id", "bucket").collect()
+    module = importlib.import_module("framelake.llm.exact_dedup")
+    whole = module.exact_dedup(odd, bucket_keys=3).select("id", "bucket").collect()
     assert len({r["bucket"] for r in whole}) > 3
-    made = exact_dedup.directory
-    monkeypatch.setattr(exact_dedup, "directory", lambda *a: made(*a).filter(f"bucket <> {whole[0]['bucket']}"))
-    assert len(exact_dedup.exact_dedup(odd, bucket_keys=3).collect()) == sum(r["bucket"] != whole[0]["bucket"] for r in whole) < len(whole)
+    made = module.directory
+    monkeypatch.setattr(module, "directory", lambda *a: made(*a).filter(f"bucket <> {whole[0]['bucket']}"))
+    assert len(module.exact_dedup(odd, bucket_keys=3).collect()) == sum(r["bucket"] != whole[0]["bucket"] for r in whole) < len(whole)
