@@ -3,6 +3,7 @@
 from datetime import date, datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from framelake.functions import curves, dates
 from framelake.operators import masks, matching, profiles, screening, series, thresholds
@@ -145,3 +146,34 @@ def test_streaming_daily_means(spark, tmp_path):
     q.awaitTermination(60)
     got = spark.table("days").orderBy("day").collect()
     assert len(got) >= 2 and got[0]["mean"] == 11.5 and got[0]["n"] == 24
+
+
+def test_best_correlated_holds_few_scores(spark):
+    """Two blocks of 1,500 vectors have 18 MB of scores; a worker holds a part of them."""
+    import tracemalloc
+
+    held = {}
+    real = thresholds.block_pairs
+
+    def watched(targets, sources, key, vector, block, compare, schema):
+        rng = np.random.default_rng(3)
+        x = rng.normal(size=(1500, 8))
+        keys = pa.array(np.arange(1500))
+        tracemalloc.start()
+        got = compare(keys, x, keys, x.copy())
+        held["peak"] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        score = np.corrcoef(x)
+        np.fill_diagonal(score, -2)
+        assert got.column("source").to_pylist() == score.argmax(axis=1).tolist()
+        return real(targets, sources, key, vector, block, compare, schema)
+
+    df = spark.createDataFrame([(1, [1.0, 2.0, 4.0]), (1, [1.0, 2.0, 4.0]), (2, [1.0, 2.0, 3.0]), (3, [3.0, 1.0, 2.0])], "k int, v array<double>")
+    old, thresholds.SCORES = getattr(thresholds, "SCORES", None), 1 << 16
+    thresholds.block_pairs = watched
+    try:
+        got = {r["k"]: r["source"] for r in thresholds.best_correlated(df, df, "k", "v").collect()}
+    finally:
+        thresholds.block_pairs, thresholds.SCORES = real, old
+    # Rows that repeat a key are not each other's sources.
+    assert got == {1: 2, 2: 1, 3: 1} and held["peak"] < 6 << 20
